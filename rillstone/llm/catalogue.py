@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL equivalents."""
 
-from . import chat, mixing, packing
+from . import chat, mixing, packing, toxicity
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_pack": packing.op10_pack,
 }
 ORACLES = {
