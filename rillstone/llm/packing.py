@@ -11,6 +11,7 @@ itself (placed again by their row number within the id, length and checksum); an
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ END_ID = 1
 EMIT = 0.999
 ROUND_ITEMS = 100_000
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -37,11 +38,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of plain letters (Latin-1) with stops or commas behind it: its letters are one token group of their own, whatever their ASCII case.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+
+
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes, by remembered words.
 
     No token of this vocabulary spans white space, its normaliser acts on characters and its splitter has no lookaround, so a text's ids are those
-    of its runs between ASCII white space, in order; each distinct run is encoded once by the tokenizer itself.
+    of its runs between ASCII white space, in order; each distinct run is encoded once by the tokenizer itself. Runs of plain letters are
+    encoded many at a time and told apart by their word-end tokens.
     """
 
     def __init__(self, path: str):
@@ -49,15 +55,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.stops: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _many(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 2048):
+            some = words[lo : lo + 2048]
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the vocabulary does not end each word by a token of its own")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, (4 * stops).tolist(), strict=True):
+                self.letters[w] = raw[at:end]
+                at = end
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.ids) + len(words) > CACHE_WORDS:
             self.ids.clear()
-        new = list(words)
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
+        if len(self.letters) + len(words) > CACHE_WORDS:
+            self.letters.clear()
+        plain = []
+        for w in words:
+            t = w.decode()
+            if m := PLAIN.fullmatch(t):
+                plain.append((w, m[1].lower() if m[1].isascii() else m[1], m[2]))
+            else:
+                self.ids[w] = self._one(t)
+        self._many(list({t for _, t, _ in plain if t not in self.letters}))
+        for w, letters, stops in plain:
+            if stops not in self.stops:
+                if len(self.stops) > 10_000:
+                    self.stops = {"": b""}
+                self.stops[stops] = self._one(stops)
+            self.ids[w] = self.letters[letters] + self.stops[stops]
 
     def encode(self, text: str | None) -> bytes:
         words = text.encode().split() if text else []
@@ -85,6 +122,16 @@ class WordEncoder:
         self.learn({w for w in new if w not in known})
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One for each worker process, so that its memory of words outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -93,7 +140,7 @@ def _pieces(path: str, sequence: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(path), np.asarray([END_ID], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
