@@ -45,6 +45,9 @@ def windows(text: str | None) -> list[bytes]:
     return [w.strip(EDGES) for w in text.encode().translate(_LOWER).split()] if text else []
 
 
+_opened: dict[tuple[bytes, bytes], tuple] = {}
+
+
 class Scorer:
     """The gains of windows and the features of texts. Holds plain values only, so that it travels to workers."""
 
@@ -52,10 +55,17 @@ class Scorer:
         self.dictionaries, self.level, self.weights = (ordinary, toxic), level, None
 
     def open(self) -> Scorer:
+        """Ready to score; one worker process keeps what it has learned of the same dictionaries from task to task."""
         import zstandard as zstd
 
+        if self.dictionaries in _opened:
+            self.by, self.gains = _opened[self.dictionaries]
+            return self
+
         own = lambda raw: zstd.ZstdCompressor(level=self.level, dict_data=zstd.ZstdCompressionDict(raw + b"".join(FRAME), dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False)
         self.by, self.gains = [own(d) for d in self.dictionaries], {}
+        _opened.clear()
+        _opened[self.dictionaries] = (self.by, self.gains)
         return self
 
     def gain(self, word: bytes) -> int:
