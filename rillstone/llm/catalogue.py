@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL equivalents."""
 
-from . import chat, mixing, packing, toxicity
+from . import chat, mixing, packing, sketches, toxicity
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_near_duplicates": sketches.op5_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_pack": packing.op10_pack,
 }
