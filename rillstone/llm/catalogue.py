@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL equivalents."""
 
-from . import chat, mixing, packing, sketches, toxicity
+from . import chat, mixing, packing, sketches, toxicity, vectors
 
 QUERIES = {
+    "op2_embedding_links": vectors.op2_embedding_links,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
     "op5_near_duplicates": sketches.op5_near_duplicates,

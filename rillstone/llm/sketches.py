@@ -202,8 +202,9 @@ def _roots(n: int, links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """The rows of each value of column job, of batches that are sorted by it."""
+def grouped(batches: Iterator[pa.RecordBatch], plain: bool = True) -> Iterator:
+    """The rows of each value of column job, of batches that are sorted by it; plain: as lists by name, else as a table."""
+    own = lambda parts: pa.Table.from_batches(parts).to_pydict() if plain else pa.Table.from_batches(parts)
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -213,11 +214,11 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             part = batch.slice(lo, hi - lo)
             if held and held[-1].column(0)[0] != part.column(0)[0]:
-                yield pa.Table.from_batches(held).to_pydict()
+                yield own(held)
                 held = []
             held.append(part)
     if held:
-        yield pa.Table.from_batches(held).to_pydict()
+        yield own(held)
 
 
 def _verify(k: int, ratio: tuple[int, int]):
