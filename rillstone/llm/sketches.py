@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import cut, own_name, small_batches, table
-from .components import components
+from .components import components, forest
 
 BASE, SHIFT = 1.1, 25
 #: Classes of a bucket up to which all its pairs are looked at, and of a cluster in one chunk.
@@ -64,7 +65,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     except KeyError:
         if len(_words) > CACHE_WORDS:
             _words.clear()
-        local = {w: _words.get(w) or int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in set(words)}
+        local = {w: _words.get(w) or xxh3_64_intdigest(w) for w in set(words)}
         if len(local) < CACHE_WORDS // 2:
             _words.update(local)
         h = np.fromiter(map(local.__getitem__, words), np.uint64, len(words))
@@ -176,7 +177,7 @@ def _links(sets: list[np.ndarray], ratio: tuple[int, int], first: int | None = N
     shared = np.bincount(column)[column] > 1  # tokens of one set meet no other
     column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
     both = np.zeros((rows, n), np.int64)
-    width = max(256, 8_000_000 // n)
+    width = min(max(256, 8_000_000 // n), int(column.max()) + 1 if len(column) else 1)
     for lo in range(0, (int(column.max()) + 1) if len(column) else 0, width):
         at = slice(*np.searchsorted(column, (lo, lo + width)))
         block = np.zeros((n, width), np.float32)
@@ -185,23 +186,6 @@ def _links(sets: list[np.ndarray], ratio: tuple[int, int], first: int | None = N
     return ratio[1] * both >= ratio[0] * (size[:rows, None] + size[None, :] - both)
 
 
-def _roots(n: int, links: np.ndarray) -> np.ndarray:
-    """Least member of each one's component."""
-    root = np.arange(n)
-    i, j = np.nonzero(links)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def grouped(batches: Iterator[pa.RecordBatch], plain: bool = True) -> Iterator:
     """The rows of each value of column job, of batches that are sorted by it; plain: as lists by name, else as a table."""
     own = lambda parts: pa.Table.from_batches(parts).to_pydict() if plain else pa.Table.from_batches(parts)
@@ -235,7 +219,7 @@ def _verify(k: int, ratio: tuple[int, int]):
                 links = _links(sets, ratio, first)
                 full = np.zeros((len(rows), len(rows)), bool)
                 full[:first] = links
-                for i, r in enumerate(_roots(len(rows), full).tolist()):
+                for i, r in enumerate(forest(len(rows), *np.nonzero(full)).tolist()):
                     if r != i:
                         a.append(rows[i][1])
                         b.append(rows[r][1])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .components import components
+from .components import components, forest
 from .sketches import grouped
 
 #: Vectors that centroids are fitted on, vectors a cell should hold, most cells, vectors in a block.
@@ -90,31 +90,17 @@ def _compare(threshold: float):
                 i, j = np.nonzero(hit)
                 i, j = i + lo, j + (0 if own else first)
                 if len(i) > 4 * n:  # many links: keep what spans the same components
-                    roots = _forest(n, i, j)
+                    roots = forest(n, i, j)
                     i, j = np.flatnonzero(roots != np.arange(n)), roots[roots != np.arange(n)]
                 i_all.append(i)
                 j_all.append(j)
-            roots = _forest(n, np.concatenate(i_all), np.concatenate(j_all))
+            roots = forest(n, np.concatenate(i_all), np.concatenate(j_all))
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(links[at]), pa.array(cid[roots[at]])], names=["cid", "links", "root"])
 
     return run
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        for at in (i, j, root[i], root[j]):
-            np.minimum.at(new, at, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def link_vectors(vectors: DataFrame, threshold: float = 0.95, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept, one row for each row."""
     spark = vectors.sparkSession
