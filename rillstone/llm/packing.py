@@ -28,7 +28,7 @@ END_ID = 1
 EMIT = 0.999
 ROUND_ITEMS = 100_000
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -38,16 +38,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: A word of plain letters (Latin-1) with stops or commas behind it: its letters are one token group of their own, whatever their ASCII case.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+#: Runs of plain letters (Latin-1), each one token group of its own.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A stop or comma that ends a run and follows another mark, with which it may share a token.
+MARKED_STOP = re.compile(r"[^\w\s][.,](?=\s)|_[.,](?=\s)")
+_UPPER = bytes(range(65, 91))
+_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes, by remembered words.
 
     No token of this vocabulary spans white space, its normaliser acts on characters and its splitter has no lookaround, so a text's ids are those
-    of its runs between ASCII white space, in order; each distinct run is encoded once by the tokenizer itself. Runs of plain letters are
-    encoded many at a time and told apart by their word-end tokens.
+    of its runs between ASCII white space, in order; each distinct run is encoded once by the tokenizer itself. So that fewer runs are distinct,
+    ASCII letters are put in lower case, as the normaliser does, and a stop or comma behind a letter or digit and before white space is made a run of
+    its own, as the splitter does; a text with control strings, or with such a stop behind another mark, is left as it is. Runs of plain
+    letters are encoded many at a time and told apart by their word-end tokens.
     """
 
     def __init__(self, path: str):
@@ -55,49 +61,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _one(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _many(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 2048):
-            some = words[lo : lo + 2048]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                raise ValueError("the vocabulary does not end each word by a token of its own")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, (4 * stops).tolist(), strict=True):
-                self.letters[w] = raw[at:end]
-                at = end
+    def runs(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode()
+        if "<|" in text or MARKED_STOP.search(text):
+            return raw.split()
+        raw = raw.translate(_LOWER)
+        for mark in (b".", b","):
+            for gap in (b" ", b"\n"):
+                raw = raw.replace(mark + gap, b" " + mark + gap)
+        return raw.split()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.ids) + len(words) > CACHE_WORDS:
             self.ids.clear()
-        if len(self.letters) + len(words) > CACHE_WORDS:
-            self.letters.clear()
-        plain = []
+        plain, other = [], []
         for w in words:
             t = w.decode()
-            if m := PLAIN.fullmatch(t):
-                plain.append((w, m[1].lower() if m[1].isascii() else m[1], m[2]))
-            else:
-                self.ids[w] = self._one(t)
-        self._many(list({t for _, t, _ in plain if t not in self.letters}))
-        for w, letters, stops in plain:
-            if stops not in self.stops:
-                if len(self.stops) > 10_000:
-                    self.stops = {"": b""}
-                self.stops[stops] = self._one(stops)
-            self.ids[w] = self.letters[letters] + self.stops[stops]
+            (plain if PLAIN.fullmatch(t) else other).append((w, t))
+        for w, t in other:
+            self.ids[w] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        for lo in range(0, len(plain), 2048):
+            some = plain[lo : lo + 2048]
+            ids = np.asarray(self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the vocabulary does not end each word by a token of its own")
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(some, (4 * stops).tolist(), strict=True):
+                self.ids[w] = raw[at:end]
+                at = end
 
     def encode(self, text: str | None) -> bytes:
-        words = text.encode().split() if text else []
+        return self.join(self.runs(text))
+
+    def join(self, words: list[bytes]) -> bytes:
         try:
             return b"".join([self.ids[w] for w in words])
         except KeyError:
@@ -110,16 +113,14 @@ class WordEncoder:
                 out.append(b"".join([self.ids[w] for w in some]))
             return b"".join(out)
 
-    def remember(self, texts: list[str | None]) -> None:
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Encodes the new words of many texts at once."""
-        new: set[bytes] = set()
-        for t in texts:
-            if t:
-                new.update(t.encode().split())
-            if len(new) > CACHE_WORDS:
-                return
-        known = self.ids
-        self.learn({w for w in new if w not in known})
+        runs, new, known = [self.runs(t) for t in texts], set(), self.ids
+        for r in runs:
+            new.update(r)
+        if len(new) < CACHE_WORDS:
+            self.learn({w for w in new if w not in known})
+        return [self.join(r) for r in runs]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -142,13 +143,12 @@ def _pieces(path: str, sequence: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = encoder_of(path), np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 texts = part.column(1).to_pylist()
-                encoder.remember(texts)
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids = encoder.encode(text) + end
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                    ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
                         own = ids[at : at + 4 * sequence]
                         rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
