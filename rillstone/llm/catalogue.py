@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL equivalents."""
 
-from . import chat, mixing, packing, sketches, toxicity, vectors
+from . import audio, chat, mixing, packing, sketches, toxicity, vectors, webpages
 
 QUERIES = {
+    "op1_main_text": webpages.op1_main_text,
     "op2_embedding_links": vectors.op2_embedding_links,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_chat_format": chat.op4_chat_format,
     "op5_near_duplicates": sketches.op5_near_duplicates,
+    "op6_media": audio.op6_media,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_pack": packing.op10_pack,
 }
