@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 #: A template's subtree stands on this share of its host's pages, and on so many.
 SHARE, MANY = 0.5, 8
+#: Bytes of template lists up to which they are broadcast; beyond, pages are joined with them by host.
+BROADCAST = 16_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -199,7 +201,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, share: float = SHARE, many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
-    found = templates(pages, share, many).withColumnRenamed("host", "t_host")
+    found = cut(templates(pages, share, many).withColumnRenamed("host", "t_host"))
+    size = found.agg(F.coalesce(F.sum(8 * F.size("hashes") + F.length("t_host") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        found = F.broadcast(found)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(found, host_of(F.col("url")) == F.col("t_host"), "left")
     return small_batches(rows.select("page_id", "url", "html", "hashes"), 512).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
