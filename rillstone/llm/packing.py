@@ -38,8 +38,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Runs of plain letters (Latin-1), each one token group of its own.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A run of plain letters (Latin-1), one token group, and ASCII marks without apostrophes behind it, another one.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: A stop or comma that ends a run and follows another mark, with which it may share a token.
 MARKED_STOP = re.compile(r"[^\w\s][.,](?=\s)|_[.,](?=\s)")
 _UPPER = bytes(range(65, 91))
@@ -61,6 +61,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -80,29 +81,37 @@ class WordEncoder:
     def learn(self, words: set[bytes]) -> None:
         if len(self.ids) + len(words) > CACHE_WORDS:
             self.ids.clear()
-        plain, other = [], []
+        plain = []
         for w in words:
             t = w.decode()
-            (plain if PLAIN.fullmatch(t) else other).append((w, t))
-        for w, t in other:
-            self.ids[w] = np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            m = PLAIN.fullmatch(t)
+            if m:
+                plain.append((w, m[1], m[2]))
+            else:
+                self.ids[w] = self.one(t)
         for lo in range(0, len(plain), 2048):
             some = plain[lo : lo + 2048]
-            ids = np.asarray(self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode(" ".join([t for _, t, _ in some]), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("the vocabulary does not end each word by a token of its own")
             raw, at = ids.tobytes(), 0
-            for (w, _), end in zip(some, (4 * stops).tolist(), strict=True):
-                self.ids[w] = raw[at:end]
+            for (w, _, marks), end in zip(some, (4 * stops).tolist(), strict=True):
+                self.ids[w] = raw[at:end] + (self.marks.get(marks) or self.one(marks)) if marks else raw[at:end]
                 at = end
 
+    def one(self, text: str) -> bytes:
+        raw = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(text) < 8 and len(self.marks) < 10_000:
+            self.marks[text] = raw
+        return raw
+
     def encode(self, text: str | None) -> bytes:
         return self.join(self.runs(text))
 
     def join(self, words: list[bytes]) -> bytes:
         try:
-            return b"".join([self.ids[w] for w in words])
+            return b"".join(map(self.ids.__getitem__, words))
         except KeyError:
             out = []
             for lo in range(0, len(words), 65536):  # a text of any length passes through a bounded memory of words
@@ -110,7 +119,7 @@ class WordEncoder:
                 self.learn({w for w in some if w not in self.ids})
                 if any(w not in self.ids for w in some):
                     self.learn(set(some))
-                out.append(b"".join([self.ids[w] for w in some]))
+                out.append(b"".join(map(self.ids.__getitem__, some)))
             return b"".join(out)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
