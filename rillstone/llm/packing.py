@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ EMIT = 0.999
 ROUND_ITEMS = 100_000
 #: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded at a time.
+PART = 2_000_000
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -47,7 +51,7 @@ _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes, by remembered words.
+    """Ids of texts as little-endian 32-bit numbers, by remembered words.
 
     No token of this vocabulary spans white space, its normaliser acts on characters and its splitter has no lookaround, so a text's ids are those
     of its runs between ASCII white space, in order; each distinct run is encoded once by the tokenizer itself. So that fewer runs are distinct,
@@ -60,35 +64,33 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        self.ids: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def runs(self, text: str | None) -> list[bytes]:
+    def prepared(self, text: str | None) -> bytes:
+        """The text with ASCII white space between its runs."""
         if not text:
-            return []
+            return b""
         raw = text.encode()
         if "<|" in text or MARKED_STOP.search(text):
-            return raw.split()
+            return raw
         raw = raw.translate(_LOWER)
         for mark in (b".", b","):
             for gap in (b" ", b"\n"):
                 raw = raw.replace(mark + gap, b" " + mark + gap)
-        return raw.split()
+        return raw
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids.clear()
+    def learn(self, words: list[str]) -> None:
         plain = []
         for w in words:
-            t = w.decode()
-            m = PLAIN.fullmatch(t)
+            m = PLAIN.fullmatch(w)
             if m:
                 plain.append((w, m[1], m[2]))
             else:
-                self.ids[w] = self.one(t)
+                self.ids[w] = self.one(w)
         for lo in range(0, len(plain), 2048):
             some = plain[lo : lo + 2048]
             ids = np.asarray(self.tokenizer.encode(" ".join([t for _, t, _ in some]), add_special_tokens=False).ids, "<u4")
@@ -106,30 +108,56 @@ class WordEncoder:
             self.marks[text] = raw
         return raw
 
-    def encode(self, text: str | None) -> bytes:
-        return self.join(self.runs(text))
-
-    def join(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            out = []
-            for lo in range(0, len(words), 65536):  # a text of any length passes through a bounded memory of words
-                some = words[lo : lo + 65536]
-                self.learn({w for w in some if w not in self.ids})
-                if any(w not in self.ids for w in some):
-                    self.learn(set(some))
-                out.append(b"".join(map(self.ids.__getitem__, some)))
-            return b"".join(out)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Encodes the new words of many texts at once."""
-        runs, new, known = [self.runs(t) for t in texts], set(), self.ids
-        for r in runs:
-            new.update(r)
-        if len(new) < CACHE_WORDS:
-            self.learn({w for w in new if w not in known})
-        return [self.join(r) for r in runs]
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Texts are taken PART bytes at a time, a longer one in parts that end at white space."""
+        parts, owners, size, out = [], [], 0, [[] for _ in texts]
+
+        def flush() -> None:
+            for i, ids in zip(owners, self._encode_parts(parts), strict=True):
+                out[i].append(ids)
+            parts.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            raw, at = self.prepared(text), 0
+            while at < len(raw):
+                gap = GAP.search(raw, at + PART) if len(raw) - at > PART else None
+                end = gap.end() if gap else len(raw)
+                parts.append(raw[at:end])
+                owners.append(i)
+                size, at = size + end - at, end
+                if size >= PART:
+                    flush()
+                    size = 0
+        flush()
+        return [np.concatenate(x) if len(x) != 1 else x[0] for x in ([*o] or [np.empty(0, "<u4")] for o in out)]
+
+    def _encode_parts(self, parts: list[bytes]) -> list[np.ndarray]:
+        if not parts:
+            return []
+        lists = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words, ids = coded.dictionary.to_pylist(), self.ids
+        new = [w for w in words if w not in ids]
+        if len(ids) + len(new) > CACHE_WORDS:
+            ids.clear()
+            new = words
+        self.learn(new)
+        known = [ids[w] for w in words]
+        flat = np.frombuffer(b"".join(known), "<u4")
+        counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(counts) - counts
+        at = coded.indices.to_numpy()
+        n = counts[at]
+        ends = np.cumsum(n)
+        where = np.repeat(starts[at] - (ends - n), n)
+        where += np.arange(len(where))
+        every = flat[where]
+        bounds = np.r_[0, ends][lists.offsets.to_numpy()]
+        return [every[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -150,17 +178,17 @@ def _pieces(path: str, sequence: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = encoder_of(path), np.asarray([END_ID], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.asarray([END_ID], "<u4")
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = part.column(1).to_pylist()
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
-                        own = ids[at : at + 4 * sequence]
-                        rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+                    ids = np.append(ids, end)
+                    for piece, at in enumerate(range(0, len(ids), sequence)):
+                        own = ids[at : at + sequence]
+                        rows.append((doc_id, piece, at, len(own), zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
     return run
