@@ -35,10 +35,15 @@ def small_batches(df: DataFrame, records: int = 2000, size: str = "16m") -> Data
 
 
 def n_words(text: Column) -> Column:
-    """Number of words; 0 for null. Blanks are unified first, so that words are counted by gaps, without a regular expression for each."""
+    """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def once(value: Column) -> Column:
+    """The same value, which the optimiser does not copy into each place that uses it, lambdas included: it keeps what is not deterministic where it is."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores ahead, so that no column of df is hidden."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
     """One row per document: its key, and for its lines that are not blank place, two hashes and number of words."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.hash(s["x"]).alias("g"), F.regexp_count(s["x"], F.lit(WORD)).alias("w"))).alias("l"))
-    return rows.filter(F.size("l") > 0)
+    return rows
 
 
 def _windows(lines: int, words: int) -> Column:
@@ -52,13 +52,13 @@ def _windows(lines: int, words: int) -> Column:
         least = F.array_min(own)
         return F.struct(s["p"].alias("p"), s["n"].alias("n"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"))
 
-    starts = F.transform(F.sequence(F.lit(0), F.size("l") - 1), window)
-    return F.transform(F.filter(starts, lambda s: s["p"] + s["n"] <= F.size("l")), marked)
+    starts = F.transform(F.sequence(F.lit(0), F.size("l")), window)
+    return F.transform(F.filter(starts, lambda s: (s["p"] + s["n"] <= F.size("l"))), marked)
 
 
 def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
     """k (document key), places (of the lines of its text to delete, from 0)."""
-    hashed = cut(_hashes(docs).withColumn("win", _windows(lines, words)).filter(F.size("win") > 0).dropDuplicates(["k"]))
+    hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words)).filter(F.size("win") > 0).dropDuplicates(["k"]))
     positions = hashed.select("k", F.explode(F.array_distinct(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))))).alias("s")).select("k", "s.f", "s.at")
     shared = positions.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
     seeds = positions.join(shared, "f").groupBy("k").agg(F.collect_set("at").alias("seeds"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_name, table
+from .common import once, own_name, table
 
 ROUNDS = 8
 #: Stands for a secret; a deployment passes its own.
@@ -161,8 +161,8 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, undo: bool = False, counts: bool = False) -> DataFrame:
     """docs with text replaced; with counts, n_<kind> of values replaced come behind."""
     found, pieces = own_name(docs, "found"), own_name(docs, "pieces")
-    rows = docs.withColumn(found, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
-    rows = rows.withColumn(pieces, F.when(F.size(found) > 0, F.split("text", ANY, -1))).withColumn(found, F.transform(found, lambda m: pseudonym(m, key, undo)))
+    rows = docs.withColumn(found, once(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))))
+    rows = rows.withColumn(pieces, F.when(F.size(found) > 0, F.split("text", ANY, -1))).withColumn(found, once(F.transform(found, lambda m: pseudonym(m, key, undo))))
     text = F.when(F.size(found) > 0, F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(m["new"], F.lit("")))), "")).otherwise(F.col("text"))
     n = lambda kind: F.coalesce(F.size(F.filter(found, lambda m: m["kind"] == kind)), F.lit(0)).cast("long")
     more = [n(kind).alias(own_name(docs, f"n_{kind}")) for kind in KINDS] if counts else []
