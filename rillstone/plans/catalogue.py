@@ -1,4 +1,325 @@
 """All registered queries of the core library and their SQL equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillstone.functions import aggregates as A
+from rillstone.functions.scalar import haversine_km
+from rillstone.operators import matrices, tables
+from rillstone.operators.cep import match, state
+from rillstone.operators.flow import Flow, dense_order
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+ORDERED = "WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events) "
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str, *columns: str) -> Flow:
+    """In the order (ts, event_id), with the columns a query needs and no more."""
+    keep = list(dict.fromkeys(["event_id", "ts", *columns]))
+    return Flow.of(_read(spark, d, "events").select(*keep), ["ts", "event_id"], "ts")
+
+
+def _by_user(spark: SparkSession, d: str, *columns: str) -> Flow:
+    """Events with the order of their user's own stream; users are independent, so nothing is ordered globally."""
+    keep = list(dict.fromkeys(["event_id", "ts", "user_id", *columns]))
+    return Flow.of(_read(spark, d, "events").select(*keep), ["ts", "event_id"], "ts", part="user_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem WHERE l_quantity > 45")
+def where_map_lineitem(spark, d):
+    return Flow(_read(spark, d, "lineitem")).where("l_quantity > 45").map("l_orderkey", "l_linenumber", revenue="l_extendedprice * (1 - l_discount)").df
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def extract_events_props_json(spark, d):
+    return Flow(_read(spark, d, "events").select("event_id", F.col("props").alias("value"))).extract_json("k long").df
+
+
+@query("SELECT event_id, event_type AS kind, user_id AS uid, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v, CAST(NULL AS BIGINT) AS missing FROM events")
+def extract_text_fields(spark, d):
+    line = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"), F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("value").cast("string")))
+    return Flow(_read(spark, d, "events").select(line.alias("value"))).extract("event_id long, kind string, uid long, v double, missing long", "|").df
+
+
+@query(ORDERED + "SELECT event_id, round(sum(value) OVER (ORDER BY seq ROWS 9 PRECEDING), 3) AS s FROM e")
+def sliding_row_sum(spark, d):
+    return _events(spark, d, "value").sliding_window("row", 10).aggregate(A.sum_("value", "s"), A.max_("event_id", "m")).df.join(_events(spark, d).df.select("event_id", "_seq"), "_seq").select("event_id", F.round("s", 3).alias("s"))
+
+
+@query(ORDERED + "SELECT seq, min(value) OVER w AS lo, max(value) OVER w AS hi, first_value(value) OVER w AS oldest, last_value(value) OVER w AS newest FROM e WINDOW w AS (ORDER BY seq ROWS 9 PRECEDING)")
+def sliding_row_minmax(spark, d):
+    f = _events(spark, d, "value").sliding_window("row", 10).aggregate(A.min_("value", "lo"), A.max_("value", "hi"), A.least_recent("value", "oldest"), A.most_recent("value", "newest"))
+    return f.df.select(F.col("_seq").alias("seq"), "lo", "hi", "oldest", "newest")
+
+
+@query(ORDERED + "SELECT seq, round(quantile_cont(value, 0.5) OVER (ORDER BY seq ROWS 9 PRECEDING), 6) AS med FROM e")
+def sliding_row_median(spark, d):
+    return _events(spark, d, "value").sliding_window("row", 10).aggregate(A.median("value", "med")).df.select(F.col("_seq").alias("seq"), F.round("med", 6).alias("med"))
+
+
+@query(ORDERED + "SELECT seq, count(DISTINCT user_id) OVER (ORDER BY seq ROWS 9 PRECEDING) AS n FROM e")
+def sliding_row_dcount(spark, d):
+    return _events(spark, d, "user_id").sliding_window("row", 10).aggregate(A.dcount("user_id", "n")).df.select(F.col("_seq").alias("seq"), "n")
+
+
+@query("SELECT user_id, ts, round(avg(value) OVER w, 6) AS a, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW)")
+def sliding_range_avg_by_user(spark, d):
+    f = _by_user(spark, d, "value").sliding_window("range", 86400).aggregate(A.avg("value", "a"), A.count(name="n"))
+    return f.df.select("user_id", "ts", F.round("a", 6).alias("a"), "n")
+
+
+@query(ORDERED + "SELECT seq, event_type, count(*) OVER (PARTITION BY event_type ORDER BY seq RANGE BETWEEN 99 PRECEDING AND CURRENT ROW) AS n FROM e")
+def sliding_row_global_by_key(spark, d):
+    f = _events(spark, d, "event_type").key_by("event_type").sliding_window("row", 100).group_by(A.count(name="n"))
+    return f.df.select(F.col("_seq").alias("seq"), "event_type", "n")
+
+
+@query(ORDERED + "SELECT seq, user_id, round(sum(value) OVER w, 3) AS s, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY seq)")
+def running_group_sum(spark, d):
+    f = _events(spark, d, "user_id", "value").key_by("user_id").group_by(A.sum_("value", "s"), A.count(name="n"))
+    return f.df.select(F.col("_seq").alias("seq"), "user_id", F.round("s", 3).alias("s"), "n")
+
+
+@query("SELECT l_returnflag, sum(l_linenumber) AS s, count(*) AS n, round(avg(l_quantity), 6) AS a, CAST(sum(l_linenumber) // count(*) AS BIGINT) AS ia, count(DISTINCT l_suppkey) AS dc, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, median(l_quantity) AS med FROM lineitem GROUP BY l_returnflag")
+def group_final_all_aggs(spark, d):
+    f = Flow(_read(spark, d, "lineitem")).key_by("l_returnflag")
+    f = f.group_by(A.sum_("l_linenumber", "s"), A.count(name="n"), A.avg("l_quantity", "a"), A.int_avg("l_linenumber", "ia"), A.dcount("l_suppkey", "dc"), A.min_("l_extendedprice", "lo"), A.max_("l_extendedprice", "hi"), A.median("l_quantity", "med"), emit="final")
+    return f.df.withColumn("a", F.round("a", 6))
+
+
+@query("SELECT user_id, arg_min(value, (ts, event_id)) AS oldest, arg_max(value, (ts, event_id)) AS newest FROM events GROUP BY user_id")
+def group_most_and_least_recent(spark, d):
+    df = _read(spark, d, "events").withColumn("o", F.struct("ts", "event_id"))
+    return df.groupBy("user_id").agg(A.least_recent("value", "oldest").total("o"), A.most_recent("value", "newest").total("o"))
+
+
+@query(ORDERED + ", r AS (SELECT seq, count(*) OVER (ORDER BY seq) AS n, max(value) OVER (ORDER BY seq) AS hi FROM e) SELECT seq, n, hi FROM r WHERE n % 50 = 0")
+def trigger_every_n(spark, d):
+    f = _events(spark, d, "value").aggregate(A.count(name="n"), A.max_("value", "hi"), every=50)
+    return f.df.select(F.col("_seq").alias("seq"), "n", "hi")
+
+
+@query(ORDERED + "SELECT seq, seq // 100 AS win, count(*) OVER w AS n, max(value) OVER w AS hi FROM e WINDOW w AS (PARTITION BY seq // 100 ORDER BY seq)")
+def tumbling_row_agg(spark, d):
+    f = _events(spark, d, "value").tumbling_window("row", 100).aggregate(A.count(name="n"), A.max_("value", "hi"))
+    return f.df.select(F.col("_seq").alias("seq"), F.col("_win").alias("win"), "n", "hi")
+
+
+@query("SELECT epoch_us(ts) // 86400000000 AS win, count(*) AS n, max(value) AS hi FROM events GROUP BY 1")
+def tumbling_epoch_agg(spark, d):
+    f = Flow(_read(spark, d, "events"), ts="ts").tumbling_window("range", 86400, align="epoch").aggregate(A.count(name="n"), A.max_("value", "hi"), emit="final")
+    return f.df.withColumnRenamed("_win", "win")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+t AS (SELECT event_id, user_id, ts, r, ts AS opened, 0 AS win FROM e WHERE r = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.ts, e.r, CASE WHEN t.opened <= e.ts - INTERVAL 1 DAY THEN e.ts ELSE t.opened END, CASE WHEN t.opened <= e.ts - INTERVAL 1 DAY THEN t.win + 1 ELSE t.win END FROM t JOIN e ON e.user_id = t.user_id AND e.r = t.r + 1)
+SELECT user_id, CAST(win AS BIGINT) AS win, count(*) AS n FROM t GROUP BY user_id, win""")
+def tumbling_anchored_agg(spark, d):
+    f = _by_user(spark, d).tumbling_window("range", 86400).aggregate(A.count(name="n"), emit="final")
+    return f.df.select("user_id", F.col("_win").alias("win"), "n")
+
+
+@query(ORDERED + ", g AS (SELECT seq, value, lead(seq, 10) OVER (ORDER BY seq) AS gone FROM e) SELECT seq, value, seq AS at, false AS outdated FROM g UNION ALL SELECT seq, value, gone, true FROM g WHERE gone IS NOT NULL")
+def changelog_sliding_row(spark, d):
+    f = _events(spark, d, "value").sliding_window("row", 10).changelog()
+    return f.df.select(F.col("_seq").alias("seq"), "value", F.col("_at").alias("at"), F.col("_outdated").alias("outdated"))
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20")
+def join_theta_orders_customer(spark, d):
+    left = Flow(_read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), key="o_custkey")
+    right = Flow(_read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), key="c_custkey")
+    return left.join(right, "l_o_totalprice > r_c_acctbal * 20").df.select(F.col("l_o_orderkey").alias("o_orderkey"), F.col("r_c_custkey").alias("c_custkey"), F.col("r_c_name").alias("c_name"))
+
+
+@query("SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def scale_join_lineitem_supplier(spark, d):
+    left = Flow(_read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), key="l_suppkey")
+    right = Flow(_read(spark, d, "supplier").select("s_suppkey", "s_name"), key="s_suppkey")
+    return left.scale_join(right).df.select(F.col("l_l_orderkey").alias("l_orderkey"), F.col("l_l_linenumber").alias("l_linenumber"), F.col("r_s_name").alias("s_name"))
+
+
+@query(ORDERED + """, a AS (SELECT seq, user_id, event_id, lead(seq, 100) OVER (ORDER BY seq) AS gone FROM e WHERE event_type = 'click'),
+b AS (SELECT seq, user_id, event_id, lead(seq, 100) OVER (ORDER BY seq) AS gone FROM e WHERE event_type = 'purchase')
+SELECT a.event_id AS a_id, b.event_id AS b_id FROM a JOIN b ON a.user_id = b.user_id AND (b.gone IS NULL OR a.seq < b.gone) AND (a.gone IS NULL OR b.seq < a.gone)""")
+def windowed_join_events(spark, d):
+    """Eviction is by rows of the own side, on one arrival order of both."""
+    e = _events(spark, d, "user_id", "event_type")
+    side = lambda t: Flow(_gone(e.df.filter(F.col("event_type") == t).select("event_id", "user_id", "_seq"), 100), key="user_id")
+    live = "(r__gone is null or l__seq < r__gone) and (l__gone is null or r__seq < l__gone)"
+    return side("click").join(side("purchase"), live).df.select(F.col("l_event_id").alias("a_id"), F.col("r_event_id").alias("b_id"))
+
+
+def _gone(df: DataFrame, n: int) -> DataFrame:
+    """With the arrival that pushes each row out of a window of n rows of its own side, by a dense order of that side."""
+    own = dense_order(df.withColumnRenamed("_seq", "_all"), ["_all"])
+    later = own.select((F.col("_seq") - n).alias("_seq"), F.col("_all").alias("_gone"))
+    return own.join(later, "_seq", "left").drop("_seq").withColumnRenamed("_all", "_seq")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, value FROM events WHERE value > 50")
+def union_streams(spark, d):
+    from rillstone.sources.context import Context
+
+    c, e = Context(spark), Flow(_read(spark, d, "events").select("event_id", "value", "event_type"))
+    e.where("event_type = 'click'").map("event_id", "value").to_stream(c, "all")
+    e.where("value > 50").map("event_id", "value").to_stream(c, "all")
+    return c.from_stream("all").df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0")
+def partition_merge_filter(spark, d):
+    return Flow(_read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).partition_by("l_orderkey % 3", 3).where("l_orderkey % 2 = 0").merge().df
+
+
+@query("SELECT event_id % 3 AS p, count(*) AS n, max(value) AS hi FROM events GROUP BY 1")
+def partitioned_aggregate(spark, d):
+    f = Flow(_read(spark, d, "events").select("event_id", "value")).partition_by("event_id % 3", 3).aggregate(A.count(name="n"), A.max_("value", "hi"), emit="final")
+    return f.df.withColumnRenamed("_part", "p")
+
+
+TRIPLES = "SELECT event_id AS s, 'type' AS p, event_type AS o, 0 AS k FROM events UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR), 1 FROM events UNION ALL SELECT event_id, 'x', event_type, 2 FROM events WHERE event_id % 5 = 0"
+
+
+@query(f"WITH t AS ({TRIPLES}) SELECT s, max(CASE WHEN p = 'type' THEN o END) AS type, max(CASE WHEN p = 'user' THEN o END) AS \"user\" FROM t GROUP BY s")
+def tuplify_events(spark, d):
+    e = _read(spark, d, "events")
+    t = e.select(F.col("event_id").alias("s"), F.explode(F.array(F.struct(F.lit("type").alias("p"), F.col("event_type").alias("o"), F.lit(0).alias("_seq")), F.struct(F.lit("user").alias("p"), F.col("user_id").cast("string").alias("o"), F.lit(1).alias("_seq")), F.struct(F.lit("x").alias("p"), F.col("event_type").alias("o"), F.lit(2).alias("_seq")))).alias("x")).select("s", "x.*")
+    return Flow(t).tuplify(["type", "user"]).df.select("s", "type", "user")
+
+
+@query(ORDERED + "SELECT seq, event_id, value FROM e WHERE seq < (SELECT count(*) // 10 * 10 FROM e)")
+def batch_unbatch_roundtrip(spark, d):
+    return _events(spark, d, "value").batch(10).unbatch().df.select(F.col("_seq").alias("seq"), "event_id", "value")
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error'")
+def keyed_table_upsert(spark, d):
+    log = _read(spark, d, "events").select("user_id", "value", "event_type", F.struct("ts", "event_id").alias("_seq"), (F.col("event_type") == "error").alias("_outdated"))
+    return tables.last_writes(log, "user_id").select("user_id", "value", "event_type")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT (c_mktsegment = 'BUILDING')")
+def table_update_delete(spark, d):
+    t = tables.KeyedTable(_read(spark, d, "customer"), "c_custkey")
+    t.delete_where(F.col("c_mktsegment") == "BUILDING")
+    t.update_where(F.col("c_acctbal") < 0, c_acctbal=F.lit(0.0))
+    return t.select().select("c_custkey", "c_acctbal")
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY user_id")
+def mvcc_snapshot(spark, d):
+    log = _read(spark, d, "events").select("user_id", "value", F.col("event_id").alias("_tx"))
+    return tables.snapshot(tables.versions(log, "user_id"), 500).select("user_id", "value")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey > 10 AND c_acctbal >= 1000")
+def sql_on_table(spark, d):
+    from rillstone.sources.context import Context
+
+    c = Context(spark)
+    c.create_table("customers", _read(spark, d, "customer"), "c_custkey")
+    return c.sql("select c_custkey, c_name, c_acctbal from customers where c_custkey > 10 and c_acctbal >= 1000")
+
+
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+m AS (SELECT user_id, 0::BIGINT AS r, 0 AS st, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT m.user_id, e.r, CASE WHEN m.st IN (0, 3) AND e.event_type = 'signup' THEN 1 WHEN m.st = 1 AND e.event_type = 'purchase' THEN 2 WHEN m.st = 2 AND e.event_type = 'error' THEN 3 WHEN m.st = 3 THEN 0 ELSE m.st END,
+   CASE WHEN m.st IN (0, 3) AND e.event_type = 'signup' THEN e.event_id ELSE m.a END, CASE WHEN m.st = 1 AND e.event_type = 'purchase' THEN e.event_id ELSE m.b END, CASE WHEN m.st = 2 AND e.event_type = 'error' THEN e.event_id ELSE m.c END
+  FROM m JOIN e ON e.user_id = m.user_id AND e.r = m.r + 1)
+SELECT user_id, a, b, c FROM m WHERE st = 3""")
+def cep_seq_first_match(spark, d):
+    p = state(lambda e: e["event_type"] == "signup") >> state(lambda e: e["event_type"] == "purchase") >> state(lambda e: e["event_type"] == "error")
+    out = match(_by_user(spark, d, "event_type").df, p, ["user_id"], output="combined")
+    return out.select("user_id", *[F.col("events")[i]["event_id"].alias(n) for i, n in enumerate("abc")])
+
+
+@query()
+def cep_next_match(spark, d):
+    p = (state(lambda e: e["event_type"] == "signup") >> state(lambda e: e["event_type"] == "purchase")).within("event_id", 2000)
+    return match(_by_user(spark, d, "event_type").df, p, ["user_id"], "next").select("user_id", "event_id", "_match", "_pos")
+
+
+@query()
+def stateful_balance(spark, d):
+    f = lambda row, total: ({"user_id": row["user_id"], "event_id": row["event_id"], "balance": total + row["value"]}, total + row["value"])
+    return _by_user(spark, d, "value").stateful_map(f, float, "user_id long, event_id long, balance double").df
+
+
+NATION_EDGES = "SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst, 1.0 + n_regionkey AS w FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 7 + 3) % 25, 2.5 FROM nation"
+
+
+def _edges(spark, d) -> DataFrame:
+    n = _read(spark, d, "nation")
+    k = F.col("n_nationkey")
+    return n.select(k.alias("src"), ((k + 1) % 25).alias("dst"), (1.0 + F.col("n_regionkey")).alias("w")).unionByName(n.select(k.alias("src"), ((k * 7 + 3) % 25).alias("dst"), F.lit(2.5).alias("w")))
+
+
+@query(f"""WITH RECURSIVE edges AS ({NATION_EDGES}), p AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS dist, 0 AS n UNION SELECT edges.dst::BIGINT, p.dist + edges.w, p.n + 1 FROM p JOIN edges ON p.node = edges.src WHERE p.n < 9 AND p.dist < 15)
+SELECT node, min(dist) AS dist FROM p GROUP BY node""")
+def graph_shortest_path(spark, d):
+    return matrices.shortest_paths(_edges(spark, d), 0)
+
+
+@query()
+def graph_spanning_tree(spark, d):
+    return matrices.spanning_tree(_edges(spark, d))
+
+
+@query("SELECT l_suppkey % 10 AS i, l_linenumber AS j, max(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2")
+def matrix_slice_merge(spark, d):
+    cells = _read(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("i"), F.col("l_linenumber").alias("j")).agg(F.max("l_quantity").alias("v")).withColumn("id", F.lit(0))
+    parts = matrices.matrix_slice(cells, {0: F.col("j") <= 2, 1: F.col("j").between(3, 4)})
+    return matrices.matrix_merge(parts, 2).drop("id")
+
+
+@query("""WITH c AS (SELECT c_custkey, (c_custkey % 180 - 90)::DOUBLE AS lat, (c_custkey * 7 % 360 - 180)::DOUBLE AS lon FROM customer), n AS (SELECT n_nationkey, (n_nationkey * 7 % 180 - 90)::DOUBLE AS lat, (n_nationkey * 13 % 360 - 180)::DOUBLE AS lon FROM nation),
+x AS (SELECT c_custkey, n_nationkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(n.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(n.lat)) * pow(sin(radians(n.lon - c.lon) / 2), 2)))) AS km FROM c, n)
+SELECT c_custkey, round(min(km), 6) AS km FROM x GROUP BY c_custkey""")
+def haversine_nearest(spark, d):
+    """Landmarks are a stated set of 25 points, folded into an array; each point meets all of them without a join of rows."""
+    n = _read(spark, d, "nation").select((F.col("n_nationkey") * 7 % 180 - 90).cast("double").alias("lat"), (F.col("n_nationkey") * 13 % 360 - 180).cast("double").alias("lon"))
+    points = n.agg(F.collect_list(F.struct("lat", "lon")).alias("points"))
+    c = _read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 180 - 90).cast("double").alias("la"), (F.col("c_custkey") * 7 % 360 - 180).cast("double").alias("lo"), F.lit(1).alias("one"))
+    both = c.join(F.broadcast(points.withColumn("one", F.lit(1))), "one")
+    return both.select("c_custkey", F.round(F.array_min(F.transform("points", lambda p: haversine_km(F.col("la"), F.col("lo"), p["lat"], p["lon"]))), 6).alias("km"))
+
+
+LR = "SELECT user_id AS vid, epoch_us(ts) // 86400000000 AS m, event_id % 10 AS seg, value AS speed FROM events"
+
+
+@query(f"WITH p AS ({LR}), v AS (SELECT seg, m, vid, avg(speed) AS s FROM p GROUP BY 1, 2, 3), a AS (SELECT seg, m, sum(s) AS s, count(*) AS n FROM v GROUP BY 1, 2) SELECT seg, m, round(sum(s) OVER w / sum(n) OVER w, 6) AS lav FROM a WINDOW w AS (PARTITION BY seg ORDER BY m RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def linear_road_lav(spark, d):
+    from rillstone.plans.usecases import average_speed
+
+    return average_speed(_positions(spark, d)).select("seg", "m", F.round("lav", 6).alias("lav"))
+
+
+@query(f"WITH p AS ({LR}), v AS (SELECT seg, m, vid, avg(speed) AS s FROM p GROUP BY 1, 2, 3), a AS (SELECT seg, m, sum(s) AS s, count(*) AS n FROM v GROUP BY 1, 2), l AS (SELECT seg, m, n, sum(s) OVER w / sum(n) OVER w AS lav FROM a WINDOW w AS (PARTITION BY seg ORDER BY m RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT seg, m, CASE WHEN lav < 60 AND n > 20 THEN 2.0 * pow(n - 20, 2) ELSE 0.0 END AS toll FROM l")
+def linear_road_tolls(spark, d):
+    from rillstone.plans.usecases import tolls
+
+    return tolls(_positions(spark, d), speed_below=60, cars_above=20).select("seg", "m", "toll")
+
+
+def _positions(spark, d) -> DataFrame:
+    return _read(spark, d, "events").select(F.col("user_id").alias("vid"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("m"), (F.col("event_id") % 10).alias("seg"), F.col("value").alias("speed"))
