@@ -34,7 +34,7 @@ class Context:
     def stream_from_csv(self, path: str, schema: str, sep: str = ",") -> Flow:
         return self.stream_from_file(path).extract(schema, sep)
 
-    def stream_from_generator(self, n: int, **columns: Column) -> Flow:
+    def stream_from_generator(self, n: int, /, **columns: Column) -> Flow:
         """Rows 0 to n - 1; columns are expressions over id."""
         df = self.spark.range(n)
         return Flow(df.select(*[c.alias(k) for k, c in columns.items()], F.col("id").alias("_seq")))
