@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,17 @@ def small_batches(df: DataFrame, records: int = 2000, size: str = "16m") -> Data
     return df
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(owner: str, clear: Callable[[], None]) -> None:
+    """A worker process outlives stages: what other operators remember in it is dropped when owner begins."""
+    for name, drop in _memories.items():
+        if name != owner:
+            drop()
+    _memories[owner] = clear
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, sole_memory, table
 
 SEQUENCE = 4096
 END_ID = 1
@@ -165,6 +165,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder_of(path: str) -> WordEncoder:
     """One for each worker process, so that its memory of words outlives a task."""
+    sole_memory("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

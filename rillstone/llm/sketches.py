@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, own_name, small_batches, table
+from .common import cut, own_name, small_batches, sole_memory, table
 from .components import components, forest
 
 BASE, SHIFT = 1.1, 25
@@ -35,7 +35,7 @@ BUCKET, CHUNK = 24, 384
 PIVOTS = 4
 #: Pairs are dropped before verification only if the estimate is this far below the threshold (5 standard errors).
 SLACK = 0.16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -102,9 +102,10 @@ def similarity_floor(threshold: float) -> float:
 
 def _sketch(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("sketches", _words.clear)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 sets = [shingles(t.as_py(), k) for t in part.column(1)]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 regs = registers([sets[i] for i in full], m)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, sole_memory, table
 
 #: Labelled documents of each class that are used at most.
 SAMPLE = 2000
@@ -58,6 +58,7 @@ class Scorer:
         """Ready to score; one worker process keeps what it has learned of the same dictionaries from task to task."""
         import zstandard as zstd
 
+        sole_memory("toxicity", _opened.clear)
         if self.dictionaries in _opened:
             self.by, self.gains = _opened[self.dictionaries]
             return self
