@@ -292,13 +292,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 1
     named = joined.filter("root is not null or copies > 1").join(names, "root", "left").select("f1", "f2", F.coalesce("name", "class_doc").alias("name"))
     out = sk.select("doc_id", "n_shingles", "f1", "f2", "row_key").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce("name", "doc_id") == F.col("doc_id")).alias("kept"), "row_key")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), "row_key")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns; of rows that repeat a doc_id and text one stays."""
     key = own_name(docs, "row_key")
-    kept = near_duplicates(docs, k, ratio).filter(F.coalesce("kept", F.lit(True))).select(F.col("row_key").alias(key)).distinct()
+    kept = near_duplicates(docs, k, ratio).filter("kept").select(F.col("row_key").alias(key)).distinct()
     return docs.withColumn(key, F.xxhash64("doc_id", "text")).dropDuplicates([key]).join(kept, key).select(*docs.columns)
 
 
