@@ -42,7 +42,7 @@ def test_documents_operators_take_anything(spark, docs):
     assert cleaned.columns == docs.columns
     assert cleaned.count() == n
     if n:
-        assert cleaned.filter("doc_id = 5").first().text.startswith("zero\none\ntwo\nthree")  # "four word..." ends the other run
+        assert cleaned.filter("doc_id = 5").first().text.startswith("zero\n\nend")  # the run one, two, three stands in 4 already
     hidden = pseudonyms.pseudonymise(docs, counts=True)
     assert hidden.count() == n
     if n:
@@ -117,7 +117,7 @@ def test_media_round_trip():
         assert s.damaged == 0
     hurt = bytearray(media)
     hurt[3000:3010] = b"\0" * 10
-    assert audio.parse(b"noise" + bytes(media)).skipped == 5
+    assert audio.parse(b"noise" + bytes(media)).skipped == 5 + s.head  # behind noise a tag is noise too
     assert len(audio.parse(bytes(hurt)).offsets) >= len(s.offsets) - 2
 
 
