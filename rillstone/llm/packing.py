@@ -44,8 +44,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 #: A run of plain letters (Latin-1), one token group, and ASCII marks without apostrophes behind it, another one.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
-#: A stop or comma that ends a run and follows another mark, with which it may share a token.
-MARKED_STOP = re.compile(r"[^\w\s][.,](?=\s)|_[.,](?=\s)")
+#: A stop or comma that ends a run and follows anything but a digit, a Latin letter that keeps its form when normalised, or a gap: both may share a token.
+MARKED_STOP = re.compile("[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\x09-\x0D\x20][.,](?=[ \n])")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -55,8 +55,8 @@ class WordEncoder:
 
     No token of this vocabulary spans white space, its normaliser acts on characters and its splitter has no lookaround, so a text's ids are those
     of its runs between ASCII white space, in order; each distinct run is encoded once by the tokenizer itself. So that fewer runs are distinct,
-    ASCII letters are put in lower case, as the normaliser does, and a stop or comma behind a letter or digit and before white space is made a run of
-    its own, as the splitter does; a text with control strings, or with such a stop behind another mark, is left as it is. Runs of plain
+    ASCII letters are put in lower case, as the normaliser does, and a stop or comma behind a Latin letter or digit and before white space is made a run of
+    its own, as the splitter does; a text with control strings, or with such a stop behind anything else, is left as it is. Runs of plain
     letters are encoded many at a time and told apart by their word-end tokens.
     """
 
