@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, WindowSpec
@@ -16,6 +17,8 @@ class Agg:
     column: str | None
     name: str
     by: str | None = None
+    #: Kind custom: from a column to an aggregate of it, such as a grouped-aggregate Pandas UDF.
+    make: Callable[[Column], Column] | None = None
 
     def total(self, seq: str = "_seq") -> Column:
         return self._make(lambda c: c, False, seq).alias(self.name)
@@ -45,6 +48,8 @@ class Agg:
                 return o(F.min_by(x, F.col(recent)))
             case "most_recent" | "identity":
                 return o(F.max_by(x, F.col(recent)))
+            case "custom":
+                return o(self.make(x))
             case "median":
                 return o(F.percentile(x, F.lit(0.5)))
         raise ValueError(f"no aggregate is called {self.kind}")
@@ -59,3 +64,15 @@ def _maker(kind: str):
 
 sum_, count, avg, int_avg, dcount, min_, max_ = map(_maker, ("sum", "count", "avg", "int_avg", "dcount", "min", "max"))
 global_min, global_max, least_recent, most_recent, median, identity = map(_maker, ("global_min", "global_max", "least_recent", "most_recent", "median", "identity"))
+
+
+def custom(make: Callable[[Column], Column], column: str, name: str) -> Agg:
+    """An aggregate of one's own; in frames it must be one that Spark takes over a window."""
+    return Agg("custom", column, name, make=make)
+
+
+#: Aggregates by the names of the typed interface: the type of a column is Spark's own.
+TYPED = {
+    "Int": identity, "String": identity, "Double": identity, "IntSum": sum_, "DoubleSum": sum_, "IntAvg": int_avg, "DoubleAvg": avg, "Count": count, "DistinctCount": dcount,
+    "IntMin": min_, "DoubleMin": min_, "StringMin": min_, "IntMax": max_, "DoubleMax": max_, "StringMax": max_,
+}

@@ -101,9 +101,12 @@ def _step(p: Pattern, run: Run, event: dict) -> str:
     return "skip"
 
 
-def run_matches(rows: list[dict], p: Pattern, strategy: str = "first") -> list[list[dict]]:
-    """Matches of rows in order. first: one run at a time, events it cannot use are skipped; next: every event may also open a run."""
-    out, live = [], []
+def run_matches(rows: list[dict], p: Pattern, strategy: str = "first", open_runs: list[Run] | None = None) -> list[list[dict]]:
+    """Matches of rows in order. first: one run at a time, events it cannot use are skipped; next: every event may also open a run.
+
+    open_runs are the runs that earlier rows left open; they go on, and what is open at the end takes their place in the list.
+    """
+    out, live = [], list(open_runs or [])
     for event in rows:
         kept, used = [], False
         for r in live:
@@ -121,6 +124,8 @@ def run_matches(rows: list[dict], p: Pattern, strategy: str = "first") -> list[l
                 out.append(r.events)
             elif said == "on":
                 live.append(r)
+    if open_runs is not None:
+        open_runs[:] = live
     return out
 
 

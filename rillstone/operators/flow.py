@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from rillstone.functions.aggregates import Agg
 
 Expr = Column | str
+#: How serialised rows write times.
+BYTES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,19 @@ class Flow:
         rest = [c for c in self.df.columns if c != column and c not in [f.name for f in fields]]
         return self._with(self.df.withColumn("_j", parsed).select(*rest, *[F.col(f"_j.{f.name}").try_cast(f.dataType).alias(f.name) for f in fields]))
 
+    def serialize(self, column: str = "value") -> Flow:
+        """Each row's columns, but for those that begin with _, as bytes of one binary column: JSON with nulls and microseconds. What is outdated is not marked."""
+        own = [c for c in self.df.columns if not c.startswith("_")]
+        rest = [c for c in self.df.columns if c == "_seq" or c == self.part and c.startswith("_")]
+        return self._with(self.df.select(F.encode(F.to_json(F.struct(*own), BYTES | {"ignoreNullFields": "false"}), "UTF-8").alias(column), *rest))
+
+    def deserialize(self, schema: str, column: str = "value") -> Flow:
+        """The rows that serialize() packed; bytes that are no such row give nulls."""
+        rest = [c for c in self.df.columns if c == "_seq" or c == self.part and c.startswith("_")]
+        # Bytes that are not UTF-8 would end the query in a plain decoding.
+        text = F.try_validate_utf8(F.col(column).cast("string"))
+        return self._with(self.df.select(F.from_json(text, schema, BYTES).alias("_row"), *rest).select("_row.*", *rest))
+
     def tuplify(self, predicates: list[str], mode: str = "punctuated", s: str = "s", p: str = "p", o: str = "o") -> Flow:
         """Triples to wide rows; of repeated predicates the last object counts, unknown ones are dropped.
 
@@ -213,9 +228,39 @@ class Flow:
             rank = F.row_number().over(Window.partitionBy(*self._parts()).orderBy("_seq"))
             out = out.withColumn("_rn", rank).filter(F.col("_rn") % every == 0).drop("_rn")
         if seconds:
-            out = out.filter(F.floor(F.unix_micros(F.col(self.ts).cast("timestamp")) / int(seconds * 1e6)) != F.coalesce(F.floor(F.unix_micros(F.lag(self.ts).over(Window.partitionBy(*self._parts()).orderBy("_seq")).cast("timestamp")) / int(seconds * 1e6)), F.lit(-1)))
+            out = self._triggered(out, int(seconds * 1_000_000))
         return replace(self, df=out, window=None)
 
+    def _triggered(self, df: DataFrame, gap: int) -> DataFrame:
+        """Rows at least gap microseconds after the row kept before; the first is held against time 0.
+
+        Each kept row depends on the one before, so the parallelism is that of the partitions. Only order and time travel to Python, and in a partitioned
+        flow only of rows later than all before them, as no other row can be kept.
+        """
+        parts = self._parts()
+        over = Window.partitionBy(*parts).orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+        us = df.withColumn("_us", self._micros())
+        rising = (us.withColumn("_max", F.max("_us").over(over)).filter("_max is null or _us > _max") if parts else us).filter("_us is not null")
+
+        def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_seq")
+            last, kept = 0, []
+            for t in pdf["_us"].tolist():
+                on = t - last >= gap
+                last = t if on else last
+                kept.append(on)
+            return pdf.loc[kept, [*parts, "_seq"]]
+
+        narrow = rising.select(F.lit(0).alias("_all"), *parts, "_seq", "_us")
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*parts, "_seq").schema.fields)
+        return df.join(narrow.groupBy("_all", *parts).applyInPandas(keep, ddl), [*parts, "_seq"])
+
+    def fold(self, name: str, column: Expr, f: Callable[[Column], Column]) -> Flow:
+        """A window function of one's own: f turns the array of column over the pending window, in arrival order, into a value for each arrival."""
+        df, frame = self._frame([])
+        rows = F.sort_array(F.collect_list(F.struct(F.col("_seq").alias("s"), _col(column).alias("x"))).over(frame))
+        return replace(self, df=df.withColumn(name, f(F.transform(rows, lambda r: r["x"]))).drop("_us", "_win"), window=None)
+
     def aggregate(self, *aggs: Agg, emit: str = "each", every: int | None = None, seconds: float | None = None) -> Flow:
         """emit 'each': the aggregate at every arrival (or every n-th one); 'final': the totals, with partial aggregation and no order."""
         if emit == "final":
@@ -324,10 +369,31 @@ class Flow:
         df.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("value")).write.mode("overwrite").text(path)
         return self
 
+    def send_zmq(self, path: str, type: str = "pub", binary: bool = False) -> Flow:
+        return self.send("rillstone.sources.network:Zmq", binary=binary, path=path, type=type)
+
+    def send(self, client: str, binary: bool = False, **options) -> Flow:
+        """Rows that are not outdated to a queue: comma-separated text, or serialised."""
+        from rillstone.sources import network
+
+        flow = self.current()
+        cols = [c for c in flow.df.columns if not c.startswith("_")]
+        text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("value")
+        network.send(flow.serialize().df.select("value") if binary else flow.df.select(text), client, **options)
+        return self
+
     def to_stream(self, context, name: str) -> Flow:
         context.publish(name, self)
         return self
 
+    # -- other names ---------------------------------------------------------------------------------------------
+
+    groupby_key = group_by
+    pfprint = print
+    toStream, saveToFile, keyBy, assignTimestamps, assignTransactionID = to_stream, save_to_file, key_by, assign_timestamps, assign_transaction_id
+    slidingWindow, tumblingWindow, groupBy, partitionBy, statefulMap, scaleJoin = sliding_window, tumbling_window, group_by, partition_by, stateful_map, scale_join
+    extractJson, matchByNFA, sendZMQ = extract_json, match_by_nfa, send_zmq
+
 
 def dense_order(df: DataFrame, order: list[str], part: str | None = None) -> DataFrame:
     """With _seq, 0 to n - 1 in the given order (for each part).

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rillstone.operators.flow import Flow
 from rillstone.operators.tables import KeyedTable
+from rillstone.sources import network
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,6 +43,30 @@ class Context:
     def stream_from_parquet(self, path: str, order: list[str], ts: str | None = None) -> Flow:
         return Flow.of(self.spark.read.parquet(path), order, ts)
 
+    def stream_from_rest(self, port: int, path: str = "/", method: str = "POST", **options) -> Flow:
+        """Bodies of HTTP requests, column value; a streaming flow."""
+        return Flow(network.stream(self.spark, "rillstone.sources.network:Http", port=str(port), path=path, method=method, **options))
+
+    def stream_from_rabbitmq(self, url: str, queue: str, streaming: bool = False) -> Flow:
+        return self._queue("Amqp", streaming, url=url, queue=queue)
+
+    def stream_from_mqtt(self, host: str, channel: str, port: int = 1883, streaming: bool = False) -> Flow:
+        return self._queue("Mqtt", streaming, host=host, port=str(port), channel=channel)
+
+    def stream_from_zmq(self, path: str, type: str = "sub", binary: bool = False, streaming: bool = True) -> Flow:
+        return self._queue("Zmq", streaming, binary, path=path, type=type)
+
+    def _queue(self, client: str, streaming: bool, binary: bool = False, **options) -> Flow:
+        """Without streaming, what waits now; the drained rows are checkpointed, as they cannot be read twice."""
+        name = f"rillstone.sources.network:{client}"
+        return Flow(network.stream(self.spark, name, binary, **options)) if streaming else Flow(checkpointed(network.drain(self.spark, name, binary, **options)).withColumn("_seq", F.monotonically_increasing_id()))
+
+    def stream_from_kafka(self, broker: str, topic: str, group: str | None = None, streaming: bool = False) -> Flow:
+        """Spark's connector (a package of its own), a task for each partition of the topic: all messages up to now, or a stream."""
+        reader = (self.spark.readStream if streaming else self.spark.read).format("kafka").option("kafka.bootstrap.servers", broker).option("subscribe", topic).option("startingOffsets", "earliest")
+        df = (reader.option("kafka.group.id", group) if group else reader).load()
+        return Flow(df.select(F.col("value").cast("string").alias("value"), "timestamp", "partition", "offset"))
+
     def stream_from_table(self, name: str) -> Flow:
         return Flow(self.tables[name].changes())
 
