@@ -307,14 +307,14 @@ def haversine_nearest(spark, d):
 LR = "SELECT user_id AS vid, epoch_us(ts) // 86400000000 AS m, event_id % 10 AS seg, value AS speed FROM events"
 
 
-@query(f"WITH p AS ({LR}), v AS (SELECT seg, m, vid, avg(speed) AS s FROM p GROUP BY 1, 2, 3), a AS (SELECT seg, m, sum(s) AS s, count(*) AS n FROM v GROUP BY 1, 2) SELECT seg, m, round(sum(s) OVER w / sum(n) OVER w, 6) AS lav FROM a WINDOW w AS (PARTITION BY seg ORDER BY m RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@query(f"WITH p AS ({LR}), v AS (SELECT seg, m, vid, CAST(avg(speed) AS DECIMAL(28, 9)) AS s FROM p GROUP BY 1, 2, 3), a AS (SELECT seg, m, sum(s) AS s, count(*) AS n FROM v GROUP BY 1, 2) SELECT seg, m, CAST(sum(s) OVER w AS DOUBLE) / sum(n) OVER w AS lav FROM a WINDOW w AS (PARTITION BY seg ORDER BY m RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def linear_road_lav(spark, d):
     from rillstone.plans.usecases import average_speed
 
-    return average_speed(_positions(spark, d)).select("seg", "m", F.round("lav", 6).alias("lav"))
+    return average_speed(_positions(spark, d)).select("seg", "m", "lav")
 
 
-@query(f"WITH p AS ({LR}), v AS (SELECT seg, m, vid, avg(speed) AS s FROM p GROUP BY 1, 2, 3), a AS (SELECT seg, m, sum(s) AS s, count(*) AS n FROM v GROUP BY 1, 2), l AS (SELECT seg, m, n, sum(s) OVER w / sum(n) OVER w AS lav FROM a WINDOW w AS (PARTITION BY seg ORDER BY m RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT seg, m, CASE WHEN lav < 60 AND n > 20 THEN 2.0 * pow(n - 20, 2) ELSE 0.0 END AS toll FROM l")
+@query(f"WITH p AS ({LR}), v AS (SELECT seg, m, vid, CAST(avg(speed) AS DECIMAL(28, 9)) AS s FROM p GROUP BY 1, 2, 3), a AS (SELECT seg, m, sum(s) AS s, count(*) AS n FROM v GROUP BY 1, 2), l AS (SELECT seg, m, n, CAST(sum(s) OVER w AS DOUBLE) / sum(n) OVER w AS lav FROM a WINDOW w AS (PARTITION BY seg ORDER BY m RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT seg, m, CASE WHEN lav < 60 AND n > 20 THEN 2.0 * pow(n - 20, 2) ELSE 0.0 END AS toll FROM l")
 def linear_road_tolls(spark, d):
     from rillstone.plans.usecases import tolls
 

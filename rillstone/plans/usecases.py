@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def average_speed(positions: DataFrame, minutes: int = 5) -> DataFrame:
-    """positions (vid, m, seg, speed) -> seg, m, n (cars), lav: the mean of the cars' means over the last minutes."""
-    cars = positions.groupBy("seg", "m", "vid").agg(F.avg("speed").alias("s"))
+    """positions (vid, m, seg, speed) -> seg, m, n (cars), lav: the mean of the cars' means over the last minutes.
+
+    The means are summed as decimals of nine digits, so that reruns agree whatever the order of the shuffle.
+    """
+    cars = positions.groupBy("seg", "m", "vid").agg(F.avg("speed").cast("decimal(28, 9)").alias("s"))
     a = cars.groupBy("seg", "m").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("seg").orderBy("m").rangeBetween(-(minutes - 1), 0)
-    return a.select("seg", "m", "n", (F.sum("s").over(w) / F.sum("n").over(w)).alias("lav"))
+    return a.select("seg", "m", "n", (F.sum("s").over(w).cast("double") / F.sum("n").over(w)).alias("lav"))
 
 
 def tolls(positions: DataFrame, speed_below: float = 40, cars_above: int = 50) -> DataFrame:
