@@ -1,12 +1,13 @@
 """HTML extraction with site template removal.
 
 A page is read into a tree of elements, and every subtree gets a hash of its tags, classes and text. Spark counts per host on how many pages
-each hash stands; a subtree on at least SHARE of a host's pages, and on MANY at least, is a template's and is deleted. What is left goes through rules: the text of
+each hash stands, where pages whose text by the rules below is equal count as one: what stands only on copies of a page is no template's. A subtree on at least SHARE
+of a host's pages, and on MANY at least, is a template's and is deleted. What is left goes through rules: the text of
 article elements, else of main, else of the body, without navigation, headers, footers, sidebars, notices, adverts, forms, reader comments and scripts.
-The elements html, body, main and article are never deleted as templates, so pages that copy each other keep their text.
+The elements html, body, main and article are never deleted as templates.
 
 Defined results: a null or empty html has the text ''; a page that is cut off ends where it is cut; a url without a host belongs to the host ''; a null page_id or
-url is kept; repeated rows count as pages of their own; an empty table gives no rows; other columns are ignored.
+url is kept; repeated rows count as one page and are all kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,23 +113,28 @@ def _walk(top: Node):
     return reversed(order)
 
 
+def _signed(text: str) -> int:
+    d = xxh3_64_intdigest(text.encode(errors="surrogatepass"))
+    return d - (1 << 64) if d >= 1 << 63 else d
+
+
 def hashed(top: Node) -> Node:
     for n in _walk(top):
         inner = "\x1f".join(f"\x1e{c.digest}" if isinstance(c, Node) else " ".join(c.split()) for c in n.children)
-        d = xxh3_64_intdigest(f"{n.tag}\x1d{n.mark}\x1d{inner}".encode(errors="surrogatepass"))
-        n.digest = d - (1 << 64) if d >= 1 << 63 else d
+        n.digest = _signed(f"{n.tag}\x1d{n.mark}\x1d{inner}")
     return top
 
 
-def subtree_hashes(page: str) -> list[int]:
-    """Of the elements that hold text."""
+def subtree_hashes(page: str) -> tuple[int, list[int]]:
+    """The hash of the text by rules alone, and those of the elements that hold text."""
     full: dict[int, bool] = {}
     out = set()
-    for n in _walk(hashed(tree(page))):
+    top = hashed(tree(page))
+    for n in _walk(top):
         full[id(n)] = any(full[id(c)] if isinstance(c, Node) else bool(c.strip()) for c in n.children)
         if full[id(n)] and n.tag not in WHOLE:
             out.add(n.digest)
-    return sorted(out)
+    return _signed(_text(top, frozenset())), sorted(out)
 
 
 def _roots(top: Node, templates: frozenset[int]) -> list[Node]:
@@ -147,10 +153,11 @@ def _roots(top: Node, templates: frozenset[int]) -> list[Node]:
 
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
-    if not page:
-        return ""
+    return _text(hashed(tree(page)) if templates else tree(page), templates) if page else ""
+
+
+def _text(top: Node, templates: frozenset[int]) -> str:
     blocks: list[str] = []
-    top = hashed(tree(page)) if templates else tree(page)
     for root in _roots(top, templates):
         own: list[str] = []
         stack: list = [root]
@@ -180,14 +187,15 @@ def host_of(url: Column) -> Column:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([subtree_hashes(h.as_py() or "") for h in batch.column(1)], pa.list_(pa.int64()))], names=["host", "hashes"])
+        mains, hashes = zip(*(subtree_hashes(h.as_py() or "") for h in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "main", "hashes"])
 
 
 def templates(pages: DataFrame, share: float = SHARE, many: int = MANY) -> DataFrame:
     """host, hashes: of subtrees that recur on a host. Each stands on a share of its pages, so a host's list is no longer than a few pages."""
-    own = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), 512).mapInArrow(_hashes, "host string, hashes array<long>")
-    # One scan counts both: a host's pages under a null hash, each subtree under its own.
-    counts = own.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= many))
+    own = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), 512).mapInArrow(_hashes, "host string, main long, hashes array<long>")
+    # One scan counts both: a host's pages under a null hash, each subtree under its own. Copies of a page count once.
+    counts = own.select("host", "main", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count_distinct("main").alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= many))
     counts = counts.groupBy("host").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("c"))
     found = counts.select("host", F.transform(F.filter("c", lambda x: x["n"] >= F.col("pages") * share), lambda x: x["hash"]).alias("hashes"))
     return found.filter(F.size("hashes") > 0)

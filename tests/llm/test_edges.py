@@ -107,6 +107,15 @@ def test_pages(spark):
     assert got[20] == got[21] == ""
 
 
+def test_pages_that_copy_each_other(spark):
+    text = "<body><div class='x'>Join our list</div><article><h1>Head</h1><p>the same text</p></article></body>"
+    rows = [(i, "http://h.example/1", text) for i in range(10)] + [(i, "http://h.example/2", f"<body><p>text {i}</p></body>") for i in range(10, 20)]
+    rows += [(i, "http://one.example/", text.replace("Join", f"{i} join")) for i in range(20, 30)]
+    got = {r.page_id: r.text for r in webpages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in (*range(10), *range(20, 30))} == {"Head\n\nthe same text"}
+    assert got[12] == "text 12"
+
+
 def test_media_round_trip():
     for n in (64, 1408, 1472, 100_032):
         payload = bytes(i * 7 % 256 for i in range(n))
