@@ -2,10 +2,12 @@
 
 Values are found by pattern, validated, and permuted within their format by a keyed Feistel network over a product of two ranges: so equal values get equal
 pseudonyms in all documents, different values different ones, and with the key the permutation can be undone. A card number stays valid by Luhn's rule, with its
-spacing; a phone number keeps its country code and marks; an IPv4 address stays one; a social security number stays in the valid ranges; a
+spacing; a phone number, by North American groups or in any international form from a plus on, keeps its country code and marks; an IPv4 address stays one; a social security number stays in the valid ranges; a
 date stays a date of its notation, within 73,200 days. The name of a mail address gets a keyed name of its own (not undone), its domain stays.
 
-Values that fail validation (Luhn, octets over 255, dates that do not exist) are left as they are.
+Values that fail validation (Luhn, octets over 255, dates that do not exist) are left as they are. Of a run of digit groups every span of whole groups of 13 to 19
+digits is tried as a card: unbroken ones and the groups 4-4-4-4 and 4-6-5 first, then longer and earlier ones. Where card numbers stand beside other groups, a
+pseudonym may by chance make another span valid, which undo then takes; equal card numbers keep equal pseudonyms. Slash dates are mm/dd/yyyy, or dd/mm/yyyy if the first number is over 12.
 
 Defined results: a null text stays null, an empty one empty; rows are handled each for itself, so ties, repeated rows and null ids keep all rows; texts of any length are handled
 whole; an empty table gives no rows; other columns pass through in pseudonymise, and the counts behind them get underscores where names clash.
@@ -28,8 +30,13 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 ISO = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\d-])"
 LOCAL = r"(?<![\w./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\d/])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\d])"
-ANY = "|".join((EMAIL, PHONE, SSN, ISO, LOCAL, IP, CARD))
+#: Any number from a plus on, of 8 to 15 digits.
+ABROAD = r"(?<![\w+.-])\+[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\d)"
+#: Country codes of one and of two digits; the others have three.
+CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
+#: A run of digit groups of any length; a group that begins another kind of value is not of it.
+CARD = r"(?<![\w-])\d(?:(?:[ -](?!\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{2}-\d{4}(?![\w-])|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}(?![\d/])|\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|[A-Za-z0-9._%+-]++@))?\d){12,}+"
+ANY = "|".join((EMAIL, PHONE, ABROAD, SSN, ISO, LOCAL, IP, CARD))
 KINDS = ("email", "phone", "ssn", "date", "ip", "card")
 #: Days from 1900-01-01 that dates are permuted in, as 200 x 366.
 FIRST_DAY, YEARS, DAYS = "1900-01-01", 200, 366
@@ -97,6 +104,55 @@ def _card(m: Column, key: str, undo: bool) -> Column:
     return refill(m, F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
 
 
+def _cards(m: Column) -> Column:
+    """The card numbers in a run of digit groups: array of struct(s, e), offsets in m, in order and without overlap."""
+    groups = F.split(m, "[ -]")
+    lens = F.transform(groups, F.length)
+
+    def spans(g: Column) -> Column:
+        """Of groups struct(n, s): those from one on that hold 13 to 19 digits."""
+
+        def span(i: Column, k: Column) -> Column:
+            part = F.slice(g, i + 1, k)
+            sizes = F.transform(part, lambda x: x["n"])
+            s, e = F.get(g, i)["s"], F.get(g, i + k - 1)["s"] + F.get(g, i + k - 1)["n"]
+            common = (k == 1) | (sizes == F.array(*[F.lit(4)] * 4)) | (sizes == F.array(F.lit(4), F.lit(6), F.lit(5)))
+            return F.struct(F.when(common, 0).otherwise(1).alias("rank"), (-F.aggregate(sizes, F.lit(0), lambda a, x: a + x)).alias("size"), s.alias("s"), e.alias("e"))
+
+        n = F.size(g)
+        made = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: span(i, k))))
+        valid = F.filter(made, lambda x: x["size"].between(-19, -13))
+        return F.array_sort(F.filter(valid, lambda x: luhn_sum(digits(F.substring(m, x["s"] + 1, x["e"] - x["s"]))) % 10 == 0))
+
+    at = F.transform(lens, lambda n, i: F.struct(n.alias("n"), (F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda a, x: a + x) + i).alias("s")))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    free = lambda kept, x: ~F.exists(kept, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+    own = F.transform(F.array(at), spans)
+    return F.array_sort(F.aggregate(F.get(own, F.lit(0)), none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))).otherwise(kept)))
+
+
+def _run(m: Column, cards: Column, key: str, undo: bool) -> Column:
+    """m with its card numbers replaced."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(
+        cards,
+        start,
+        lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(m, a["at"] + 1, x["s"] - a["at"]), _card(F.substring(m, x["s"] + 1, x["e"] - x["s"]), key, undo)).alias("out")),
+        lambda a: F.concat(a["out"], F.substring(m, a["at"] + 1, F.length(m))),
+    )
+    return done
+
+
+def _abroad(m: Column, key: str, undo: bool) -> Column:
+    d = digits(m)
+    code = F.regexp_extract(d, CODES, 0)
+    rest = F.substring(d, F.length(code) + 1, F.length(d))
+    u = F.floor(F.length(rest) / 2).cast("int")
+    v = F.length(rest) - u
+    x = feistel(F.substring(rest, F.lit(1), u).cast("long"), F.substring(rest, u + 1, v).cast("long"), F.pow(F.lit(10.0), u).cast("long"), F.pow(F.lit(10.0), v).cast("long"), key, "phone", undo)
+    return refill(m, F.concat(code, _pad(x["l"], u), _pad(x["r"], v)))
+
+
 def _phone(m: Column, key: str, undo: bool) -> Column:
     d = digits(m)
     n = F.length(d)
@@ -121,10 +177,11 @@ def _ip(m: Column, key: str, undo: bool) -> Column:
 
 
 def _day(m: Column) -> Column:
-    """The date meant, or null. Of dd.mm.yyyy and mm/dd/yyyy the mark tells which."""
+    """The date meant, or null. Of dd.mm.yyyy and mm/dd/yyyy the mark tells which, of dd/mm/yyyy a first number over 12."""
     s = F.split(m, "[./]")
     part = lambda i: F.get(s, F.lit(i)).try_cast("int")
-    local = F.try_to_date(F.format_string("%04d-%02d-%02d", part(2), F.when(m.contains("/"), part(0)).otherwise(part(1)), F.when(m.contains("/"), part(1)).otherwise(part(0))), "yyyy-MM-dd")
+    month_first = m.contains("/") & (part(0) <= 12)
+    local = F.try_to_date(F.format_string("%04d-%02d-%02d", part(2), F.when(month_first, part(0)).otherwise(part(1)), F.when(month_first, part(1)).otherwise(part(0))), "yyyy-MM-dd")
     day = F.when(m.rlike("^[0-9]{4}-"), F.try_to_date(m, "yyyy-MM-dd")).otherwise(local)
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     return F.when((n >= 0) & (n < YEARS * DAYS), n)
@@ -132,13 +189,20 @@ def _day(m: Column) -> Column:
 
 def _date(m: Column, key: str, undo: bool) -> Column:
     n = _day(m)
-    x = feistel(F.floor(n / DAYS), n % DAYS, YEARS, DAYS, key, "date", undo)
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * DAYS + x["r"]).cast("int"))
-    return F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+
+    def step(n: Column) -> Column:
+        return F.get(F.transform(F.array(feistel(F.floor(n / DAYS), n % DAYS, YEARS, DAYS, key, "date", undo)), lambda x: (x["l"] * DAYS + x["r"]).cast("int")), F.lit(0))
+
+    date = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n)
+    # dd/mm/yyyy stays recognisable: the permutation goes on until the day is over 12 again (a round fails with 0.4).
+    days_first = F.aggregate(F.sequence(F.lit(1), F.lit(99)), step(n), lambda a, _: F.when(F.dayofmonth(date(a)) > 12, a).otherwise(step(a)))
+    slash = m.rlike("^(?:1[3-9]|[2-9][0-9])/")
+    day = date(F.when(slash, days_first).otherwise(step(n)))
+    return F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(slash, F.date_format(day, "dd/MM/yyyy")).when(m.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
 
 
-def kind_of(m: Column) -> Column:
-    """Which of KINDS m is, or null if it fails validation."""
+def kind_of(m: Column, cards: Column) -> Column:
+    """Which of KINDS m is, or null if it fails validation; cards are those in m."""
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     return (
         F.when(m.contains("@"), "email")
@@ -146,16 +210,24 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(rf"^(?:{ISO})$") | m.rlike(rf"^(?:{LOCAL})$"), F.when(_day(m).isNotNull(), "date"))
         .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(octets, "ip"))
         .when(m.rlike(rf"^(?:{PHONE})$"), "phone")
-        .when(F.length(digits(m)).between(13, 19), F.when(luhn_sum(digits(m)) % 10 == 0, "card"))
+        .when(m.rlike(rf"^(?:{ABROAD})$"), "abroad")
+        .when(F.size(cards) > 0, "card")
     )
 
 
 def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
-    """struct(kind, new) of a match; names of mail addresses are not undone."""
-    kind = kind_of(m)
+    """struct(kind, new, n) of a match, n the values replaced in it; names of mail addresses are not undone."""
     mail = m if undo else F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@"), F.substring_index(m, "@", -1))
-    new = F.when(kind == "email", mail).when(kind == "phone", _phone(m, key, undo)).when(kind == "ssn", _ssn(m, key, undo)).when(kind == "date", _date(m, key, undo)).when(kind == "ip", _ip(m, key, undo)).when(kind == "card", _card(m, key, undo)).otherwise(m)
-    return F.struct(kind.alias("kind"), new.alias("new"))
+
+    def replaced(known: Column) -> Column:
+        kind, cards = known["kind"], known["cards"]
+        new = F.when(kind == "email", mail).when(kind == "phone", _phone(m, key, undo)).when(kind == "abroad", _abroad(m, key, undo)).when(kind == "ssn", _ssn(m, key, undo)).when(kind == "date", _date(m, key, undo)).when(kind == "ip", _ip(m, key, undo)).when(kind == "card", _run(m, cards, key, undo)).otherwise(m)
+        return F.struct(F.when(kind == "abroad", "phone").otherwise(kind).alias("kind"), new.alias("new"), F.when(kind == "card", F.size(cards)).otherwise(1).alias("n"))
+
+    # Bound by transforms, so that neither is evaluated for each use.
+    cards = F.when(m.rlike("^[0-9](?:[ -]?[0-9]){12,}+$"), _cards(m)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    known = F.transform(F.array(cards), lambda c: F.struct(kind_of(m, c).alias("kind"), c.alias("cards")))
+    return F.get(F.transform(known, replaced), F.lit(0))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, undo: bool = False, counts: bool = False) -> DataFrame:
@@ -164,7 +236,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, undo: bool = False, counts: bo
     rows = docs.withColumn(found, once(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))))
     rows = rows.withColumn(pieces, F.when(F.size(found) > 0, F.split("text", ANY, -1))).withColumn(found, once(F.transform(found, lambda m: pseudonym(m, key, undo))))
     text = F.when(F.size(found) > 0, F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(m["new"], F.lit("")))), "")).otherwise(F.col("text"))
-    n = lambda kind: F.coalesce(F.size(F.filter(found, lambda m: m["kind"] == kind)), F.lit(0)).cast("long")
+    n = lambda kind: F.coalesce(F.aggregate(F.filter(found, lambda m: m["kind"] == kind), F.lit(0), lambda a, m: a + m["n"]), F.lit(0)).cast("long")
     more = [n(kind).alias(own_name(docs, f"n_{kind}")) for kind in KINDS] if counts else []
     return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *more)
 

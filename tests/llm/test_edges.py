@@ -159,6 +159,25 @@ def test_pseudonyms_undo(spark):
     assert pseudonyms.pseudonymise(new, undo=True).first().text == text
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", "4111111111111111 05/2027", f"{card} 123", f"12 {card}", f"{card} 3782 822463 10005", f"{card} 2020-01-02 a", "31/12/1999", "+49 30 1234567", "+44 20 7946 0958", "4111 1111 1111 1112"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pseudonyms.pseudonymise(df, counts=True)
+    got = {r.doc_id: r for r in new.collect()}
+    alone = pseudonyms.pseudonymise(spark.createDataFrame([(card,)], "text string")).first().text
+    assert got[0].text == f"{alone} 12/27" and got[2].text == f"{alone} 123" and got[3].text == f"12 {alone}"
+    assert got[1].text == alone.replace(" ", "") + " 05/2027"
+    assert got[4].n_card == 2 and got[4].text.startswith(alone) and "822463" not in got[4].text
+    assert (got[5].n_card, got[5].n_date) == (1, 1) and got[5].text.startswith(alone) and "2020-01-02" not in got[5].text
+    assert got[6].n_date == 1 and int(got[6].text[:2]) > 12 and got[6].text != texts[6]
+    for i, head in ((7, "+49 "), (8, "+44 ")):
+        assert got[i].n_phone == 1 and got[i].text.startswith(head) and got[i].text != texts[i]
+    assert got[9].text == texts[9]
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(new.select("doc_id", "text"), undo=True).collect()}
+    assert [back[i] for i in range(len(texts))] == texts
+
+
 def test_packing_ids(spark):
     from tokenizers import Tokenizer
 
