@@ -2,14 +2,16 @@
 
 Lines that are not blank are hashed. A window starts at each line and is as long as a repeat must be to count: LINES lines, or fewer if they hold
 WORDS words. The least line hash of a window is its fingerprint; windows next to each other mostly share one, so few positions are selected, and any
-two equal windows select the same. Fingerprints selected at least twice in the corpus are joined back to their positions; windows that hold such a
-position are compared, each with the first of its kind in the order (doc_id, text hash, line). A seed that repeats an earlier window is extended both
+two equal windows select the same. Fingerprints selected at least twice in the corpus are joined back to the windows that select them; these
+windows are compared, each with the first of its kind in the order (doc_id, text hash, line). A seed that repeats an earlier window is extended both
 ways, as long as the next window repeats an earlier one too; the lines of these runs are deleted where they come later.
 
-So a line is deleted exactly if some window over it is equal to an earlier window, in this or another document. Window keys have 96 bits.
+So a line is deleted exactly if some window over it is equal to an earlier window, in this or another document. Keys of documents and windows have 128 bits.
+A very common window or fingerprint is no task's own: the few keys with many rows are broadcast, the others shuffled.
 
 Defined results: a null text stays null; lines are compared without blanks at their ends, blank lines are kept and never counted; rows with the same doc_id and text are one
-document, each row keeps what it keeps; a null doc_id comes first; an empty table gives no rows; other columns pass through in drop_repeated_lines.
+document, each row keeps what it keeps; a null doc_id comes first; texts of any length are taken whole, in time linear in their lines; an empty table gives no rows; other columns pass
+through in drop_repeated_lines.
 """
 
 from __future__ import annotations
@@ -17,24 +19,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, own_name, table
+from .common import WORD, cut, join_counted, own_name, table
 
 LINES, WORDS = 3, 50
 
 
 def _key(doc_id="doc_id", text="text") -> Column:
-    return F.xxhash64(doc_id, text)
+    """128 bits of a document."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), doc_id, text).alias("b"))
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
     """One row per document: its key, and for its lines that are not blank place, two hashes and number of words."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.hash(s["x"]).alias("g"), F.regexp_count(s["x"], F.lit(WORD)).alias("w"))).alias("l"))
-    return rows
+    return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), F.regexp_count(s["x"], F.lit(WORD)).alias("w"))).alias("l"))
 
 
 def _windows(lines: int, words: int) -> Column:
-    """Of the array l: start p (in l), length n, fingerprint f and its place, for every start where a whole window fits."""
+    """Of the array l: start p (in l), length n, fingerprint f, its place, and 128 bits of the whole, for every start where a whole window fits."""
     at = lambda p, j, name: F.get("l", p + j)[name]
 
     def window(p: Column) -> Column:
@@ -50,7 +52,8 @@ def _windows(lines: int, words: int) -> Column:
     def marked(s: Column) -> Column:
         own = F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j")))
         least = F.array_min(own)
-        return F.struct(s["p"].alias("p"), s["n"].alias("n"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"))
+        body = lambda name: F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x: x[name])
+        return F.struct(s["p"].alias("p"), s["n"].alias("n"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"), F.xxhash64(body("h")).alias("w1"), F.xxhash64(body("g")).alias("w2"))
 
     starts = F.transform(F.sequence(F.lit(0), F.size("l")), window)
     return F.transform(F.filter(starts, lambda s: (s["p"] + s["n"] <= F.size("l"))), marked)
@@ -59,13 +62,13 @@ def _windows(lines: int, words: int) -> Column:
 def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
     """k (document key), places (of the lines of its text to delete, from 0)."""
     hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words)).filter(F.size("win") > 0).dropDuplicates(["k"]))
-    positions = hashed.select("k", F.explode(F.array_distinct(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))))).alias("s")).select("k", "s.f", "s.at")
-    shared = positions.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
-    seeds = positions.join(shared, "f").groupBy("k").agg(F.collect_set("at").alias("seeds"))
-    body = lambda s, name: F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x: x[name])
-    found = hashed.join(seeds, "k").select("doc_id", "k", F.explode(F.transform(F.filter("win", lambda s: F.array_contains("seeds", s["at"])), lambda s: F.struct(s["p"].alias("p"), s["n"].alias("n"), F.xxhash64(body(s, "h")).alias("w1"), F.hash(body(s, "g")).alias("w2")))).alias("s")).select("doc_id", "k", "s.*")
-    first = found.groupBy("w1", "w2", "n").agg(F.min(F.struct("doc_id", "k", "p")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    later = found.join(first, ["w1", "w2", "n"]).filter(~F.struct("doc_id", "k", "p").eqNullSafe(F.col("first")))
+    windows = hashed.select("doc_id", "k", F.explode("win").alias("s")).select("doc_id", "k", "s.*")
+    positions = hashed.select(F.explode(F.array_distinct(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))))).alias("s")).select("s.f")
+    shared = cut(positions.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    n = hashed.agg(F.coalesce(F.sum(F.size("win")), F.lit(0))).first()[0]
+    found = cut(join_counted(windows, shared, ["f"], n).select("doc_id", "k", "p", "n", "w1", "w2"))
+    first = cut(found.groupBy("w1", "w2", "n").agg(F.min(F.struct("doc_id", "k", "p")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    later = join_counted(found, first, ["w1", "w2", "n"], found.count()).filter(~F.struct("doc_id", "k", "p").eqNullSafe(F.col("first")))
     # Windows next to each other make runs; a run's lines are deleted.
     cover = later.groupBy("k").agg(F.collect_set(F.struct("p", "n")).alias("c"))
     runs = hashed.select("k", "l").join(cover, "k")
@@ -77,8 +80,13 @@ def drop_repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS,
     k, places = own_name(docs, "k"), own_name(docs, "places")
     gone = repeated_lines(docs, lines, words).select(F.col("k").alias(k), F.col("places").alias(places))
     rows = docs.withColumn(k, _key(F.col("doc_id").cast("long"), F.col("text"))).join(gone, k, "left")
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(places, s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(kept)
+
+    def kept(x: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(places))
+        return F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")
+
+    # Bound by a transform, so that the text is split once.
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n")), kept), F.lit(0)))
     more = [F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *more)
 

@@ -5,8 +5,11 @@ sums are scanned into offsets, and each range adds its own running sum: a distri
 range, however large the source. A source with budget b and size s takes b // s whole epochs and then the first b % s
 words in key order.
 
-Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own and sorts last; rows with the same
-doc_id and size are interchangeable; an empty table gives no rows; other columns pass through, and clashing names get underscores.
+Every row has a number of its own, by which its words come back to it: rows that repeat an id, or a whole row, are documents each for itself. Their
+common key would put them into one range, so a range that gets far more rows than its share is split by a hash of the row number.
+
+Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own and sorts last; rows of one
+doc_id and size follow their order in the table; texts of any length are counted whole; an empty table gives no rows; other columns pass through, and clashing names get underscores.
 """
 
 from __future__ import annotations
@@ -42,35 +45,50 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: f
 
 
 def takes(keyed: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """keyed (row columns, source, size, key: 32 hex digits) with source_size, target and taken (words)."""
+    """keyed (row columns, source, size, key: 32 hex digits, row: a number) with source_size, target and taken (words)."""
     targets = source_targets(keyed.select("source", "size"), weights, cap, share, range_rows)
     u = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     t = targets.withColumnRenamed("source", "t_source")
     dealt = keyed.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("range", F.floor(u * F.col("ranges")))
-    sums = dealt.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ahead = sums.select(F.col("source").alias("a_source"), F.col("range").alias("a_range"), (F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size")).alias("ahead"))
-    own = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = dealt.withColumn("own", own).join(ahead, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("range") == F.col("a_range")))
+    # Only rows that share a key can make a range this full.
+    full = dealt.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 8 * range_rows)
+    full = full.select(F.col("source").alias("f_source"), F.col("range").alias("f_range"), F.ceil(F.col("n") / range_rows).cast("long").alias("parts"))
+    dealt = dealt.join(full, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("range") == F.col("f_range")), "left").drop("f_source", "f_range")
+    dealt = dealt.withColumn("sub", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)))
+    sums = dealt.groupBy("source", "range", "sub").agg(F.sum("size").alias("range_size"))
+    # Ranges of a source are summed in blocks first, so that no task scans all of a source's ranges.
+    block = F.floor(F.col("range") / 1024)
+    blocks = sums.groupBy("source", block.alias("block")).agg(F.sum("range_size").alias("block_size"))
+    blocks = blocks.select(F.col("source").alias("b_source"), "block", (F.sum("block_size").over(Window.partitionBy("source").orderBy("block")) - F.col("block_size")).alias("block_ahead"))
+    inside = F.sum("range_size").over(Window.partitionBy("source", "block").orderBy("range", "sub")) - F.col("range_size")
+    ahead = sums.withColumn("block", block).withColumn("inside", inside).join(blocks.withColumnRenamed("block", "b_block"), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
+    ahead = ahead.select(F.col("source").alias("a_source"), F.col("range").alias("a_range"), F.col("sub").alias("a_sub"), (F.col("inside") + F.col("block_ahead")).alias("ahead"))
+    own = F.sum("size").over(Window.partitionBy("source", "range", "sub").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = dealt.withColumn("own", own).join(ahead, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("range") == F.col("a_range")) & (F.col("sub") == F.col("a_sub")))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("own")))
-    return placed.withColumn("taken", (whole * F.col("size") + part).cast("long")).drop("ranges", "range", "own", "ahead", "a_source", "a_range")
+    return placed.withColumn("taken", (whole * F.col("size") + part).cast("long")).drop("ranges", "range", "sub", "parts", "own", "ahead", "a_source", "a_range", "a_sub")
 
 
-def keyed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def keyed_documents(docs: DataFrame, seed: str = SEED, row: Column | None = None) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED) -> DataFrame:
-    """The mixed corpus with the columns of docs: a document repeated for each whole epoch, and cut to its first words where the budget ends inside it."""
-    size, taken, turn = own_name(docs, "size"), own_name(docs, "taken"), own_name(docs, "turn")
-    plan = takes(cut(keyed_documents(docs, seed)), weights, cap, share).groupBy("doc_id", "size", "source").agg(F.max("taken").alias("p_taken"))
-    plan = plan.select(F.col("doc_id").alias("p_doc_id"), F.col("size").alias("p_size"), F.col("source").alias("p_source"), "p_taken")
-    d = docs.withColumn(size, n_words(F.col("text")))
-    d = d.join(plan, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col(size) == F.col("p_size")))
-    d = d.withColumn(taken, F.col("p_taken")).filter(F.col(taken) > 0)
+    """The mixed corpus with the columns of docs: a document repeated for each whole epoch, and cut to its first words where the budget ends inside it.
+
+    Texts are moved once: numbers, sizes and words taken go through the mixing, then rows are joined by their number.
+    """
+    row, size, taken, turn = (own_name(docs, name) for name in ("row", "size", "taken", "turn"))
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = takes(cut(keyed_documents(numbered, seed, F.col(row))), weights, cap, share)
+    plan = plan.filter("taken > 0").select(F.col("row").alias("p_row"), F.col("size").alias("p_size"), F.col("taken").alias("p_taken"))
+    p = {n: own_name(numbered, n) for n in plan.columns}
+    d = numbered.join(plan.select(*[F.col(n).alias(m) for n, m in p.items()]), F.col(row) == F.col(p["p_row"]))
+    d = d.withColumn(size, F.col(p["p_size"])).withColumn(taken, F.col(p["p_taken"]))
     d = d.withColumn(turn, F.explode(F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)).cast("int"))))
     words = F.least(F.col(size), F.col(taken) - F.col(turn) * F.col(size))
     return d.withColumn("text", F.when(words == F.col(size), F.col("text")).otherwise(first_words(F.col("text"), words))).select(*docs.columns)

@@ -6,13 +6,16 @@ on registers at random, so that a shingle stops as soon as its points lie beyond
 
 Plan: documents with equal shingle sets form a class. Bands of a class' registers are hashed; a small bucket gives its pairs whose likelihood
 estimate of the similarity is not far below the threshold, a large one a star round its first class. Components of these candidates are clusters.
-Inside a cluster intersections are exact, over full shingle sets, and links give components. A cluster of more than CHUNK classes is
+Inside a cluster intersections are exact, over full shingle sets of one text for each class, and links give components. A cluster of more than CHUNK classes is
 dealt in chunks that share a few pivots; then classes outside the largest component so far, if any, meet all chunks. So a large group of
-copies takes work in proportion to its size, no task holds more than two chunks, and no list of pairs is made of a group.
+copies takes work in proportion to its size, no task holds more than two chunks, and no list of pairs is made of a group. Classes that look alike without being
+linked (one template, other values) are outside each other's components: n of them take n * n / CHUNK rows of verification.
+
+Rows are numbered and written once, so that a class' text is found by the number of its first row, however often it is repeated.
 
 Defined results: a null or empty text has no shingles and links with nothing; a text of fewer words than a shingle has one, all its words; rows with
 equal texts, or the same row repeated, are linked with each other; a null doc_id is its own component unless linked to others, and never the name
-of one; an empty table gives no rows; other columns are ignored.
+of one; texts of any length are taken whole; an empty table gives no rows; other columns are ignored, or pass through in drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, own_name, small_batches, sole_memory, table
+from .common import cut, own_name, small_batches, sole_memory, table, tidied
 from .components import components, forest
 
 BASE, SHIFT = 1.1, 25
@@ -35,7 +38,8 @@ BUCKET, CHUNK = 24, 384
 PIVOTS = 4
 #: Pairs are dropped before verification only if the estimate is this far below the threshold (5 standard errors).
 SLACK = 0.16
-CACHE_WORDS = 400_000
+#: Words that a worker remembers before it starts anew, and the longest one it does.
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 _G = np.uint64(0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -67,7 +71,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
             _words.clear()
         local = {w: _words.get(w) or xxh3_64_intdigest(w) for w in set(words)}
         if len(local) < CACHE_WORDS // 2:
-            _words.update(local)
+            _words.update((w, x) for w, x in local.items() if len(w) <= CACHE_BYTES)
         h = np.fromiter(map(local.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     s = np.zeros(n, np.uint64)
@@ -115,14 +119,9 @@ def _sketch(k: int, m: int):
                     own[i] = r.tobytes()
                     digest = blake2b(sets[i].tobytes(), digest_size=16).digest()
                     f1[i], f2[i] = (int.from_bytes(d, "little", signed=True) for d in (digest[:8], digest[8:]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "row_key", "n_shingles", "f1", "f2", "regs"])
-
-    return run
-
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "uid", "n_shingles", "f1", "f2", "regs"])
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row_key, which only equal (doc_id, text) share but for hash accidents (two 64-bit hashes never matter alone: sets are compared)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return tidied(run, _words.clear)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
@@ -213,6 +212,7 @@ def _verify(k: int, ratio: tuple[int, int]):
         a: list[int] = []
         b: list[int] = []
         for g in grouped(batches):
+            # A pivot of its own chunk comes twice.
             rows = sorted({c: (s, c, t) for c, s, t in sorted(zip(g["cid"], g["side"], g["text"], strict=True), key=lambda r: -r[1])}.values(), key=lambda r: r[:2])
             if len(rows) > 1:
                 first = sum(r[0] == 0 for r in rows)
@@ -230,7 +230,7 @@ def _verify(k: int, ratio: tuple[int, int]):
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return tidied(run, _words.clear)
 
 
 def _jobs(members: DataFrame, texts: DataFrame, check: Callable) -> DataFrame:
@@ -241,14 +241,13 @@ def _jobs(members: DataFrame, texts: DataFrame, check: Callable) -> DataFrame:
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, k: int, ratio: tuple[int, int], chunk: int = CHUNK) -> DataFrame:
-    """classes (cid, n_shingles, regs, row_key) -> node, root of components of exact links (classes without links may lack)."""
+    """classes (cid, n_shingles, regs), docs (uid, text; a class' cid is the uid of one of its rows) -> node, root of components of exact links (classes without links may lack)."""
     threshold = ratio[0] / ratio[1]
     rows, bands = banding(threshold)
-    clusters = cut(components(candidates(classes, rows, bands, similarity_floor(threshold))))
-    keys = clusters.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "row_key"), "cid")
-    texts = cut(keys.join(keyed(docs).select("row_key", "text"), "row_key").select("cid", "root", "text"))
-    sizes = texts.groupBy("root").agg(F.count_distinct("cid").alias("n"))
-    dealt = texts.select("cid", "root").distinct().join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    clusters = cut(components(candidates(classes, rows, bands, similarity_floor(threshold)))).select(F.col("node").alias("cid"), "root")
+    texts = cut(clusters.join(docs.select(F.col("uid").alias("cid"), "text"), "cid").select("cid", "root", "text"))
+    sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    dealt = texts.select("cid", "root").join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     dealt = cut(dealt)
     pivots = dealt.filter("chunks > 1").select("root", "chunks", "cid")
     pivots = pivots.groupBy("root", "chunks").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "cid").alias("h"), "cid")).alias(f"p{i}") for i in range(PIVOTS)])
@@ -279,27 +278,42 @@ def _spread(pivots: DataFrame) -> DataFrame:
     return own.select("root", "cid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("own"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), chunk: int = CHUNK) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id linked to, directly or not), kept, row_key."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row in uid, written down: the numbers stay what they are when a task is run again."""
+    return cut(docs.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def _components(docs: DataFrame, k: int, ratio: tuple[int, int], chunk: int) -> DataFrame:
+    """docs (uid, doc_id, text) -> per row doc_id, uid, n_shingles, and of its component name (the smallest doc_id) and keeper (the uid of that document's first row); both null for a row without shingles."""
     rows, bands = banding(ratio[0] / ratio[1])
-    sk = cut(small_batches(keyed(docs)).mapInArrow(_sketch(k, rows * bands), "doc_id long, row_key long, n_shingles long, f1 long, f2 long, regs binary").withColumn("uid", F.monotonically_increasing_id()))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "uid")
+    sk = cut(small_batches(narrow).mapInArrow(_sketch(k, rows * bands), "doc_id long, uid long, n_shingles long, f1 long, f2 long, regs binary"))
     sets = sk.filter("n_shingles > 0")
-    classes = sets.groupBy("f1", "f2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("class_doc"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(classes.join(sets.select(F.col("uid").alias("cid"), "n_shingles", "regs", "row_key"), "cid"))
+    # Rows without an id come last, so that they name no component with others in it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid"))
+    classes = sets.groupBy("f1", "f2").agg(F.min("uid").alias("cid"), first.alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.join(sets.select(F.col("uid").alias("cid"), "n_shingles", "regs"), "cid"))
     roots = cut(link_classes(classes, docs, k, ratio, chunk))
-    joined = classes.select("cid", "f1", "f2", "class_doc", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    names = joined.filter("root is not null").groupBy("root").agg(F.min("class_doc").alias("name"))
-    named = joined.filter("root is not null or copies > 1").join(names, "root", "left").select("f1", "f2", F.coalesce("name", "class_doc").alias("name"))
-    out = sk.select("doc_id", "n_shingles", "f1", "f2", "row_key").join(named, ["f1", "f2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"), "row_key")
-
-
-def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns; of rows that repeat a doc_id and text one stays."""
-    key = own_name(docs, "row_key")
-    kept = near_duplicates(docs, k, ratio).filter("kept").select(F.col("row_key").alias(key)).distinct()
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).dropDuplicates([key]).join(kept, key).select(*docs.columns)
+    joined = classes.select("cid", "f1", "f2", "first", "copies").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    names = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    named = joined.filter("root is not null or copies > 1").join(names, "root", "left").select("f1", "f2", F.coalesce("least", "first").alias("least"))
+    out = sk.select("doc_id", "uid", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    alone = F.col("least").isNull()
+    return out.select("doc_id", "uid", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("name"), F.when(alone, F.col("uid")).otherwise(F.col("least.uid")).alias("keeper"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), chunk: int = CHUNK) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id linked to, directly or not), kept (whether that is the own one)."""
+    found = _components(numbered(docs.select("doc_id", "text")), k, ratio, chunk)
+    return found.select("doc_id", "n_shingles", F.col("name").alias("component_id"), F.col("name").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), chunk: int = CHUNK) -> DataFrame:
+    """One row of each group, the first of the smallest doc_id, with all its columns; rows without words all stay."""
+    uid = own_name(docs, "uid")
+    rows = cut(docs.withColumn(uid, F.monotonically_increasing_id()))
+    found = _components(rows.select(F.col("doc_id"), "text", F.col(uid).alias("uid")), k, ratio, chunk)
+    return rows.join(found.filter("uid = keeper").select(F.col("uid").alias(uid)), uid).select(*docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
