@@ -1,13 +1,17 @@
 """HTML extraction with site template removal.
 
-A page is read into a tree of elements, and every subtree gets a hash of its tags, classes and text. Spark counts per host on how many pages
-each hash stands, where pages whose text by the rules below is equal count as one: what stands only on copies of a page is no template's. A subtree on at least SHARE
-of a host's pages, and on MANY at least, is a template's and is deleted. What is left goes through rules: the text of
+A page is read into a tree of elements, and every subtree gets two hashes: one of its tags, classes and text, and one of its place and shape (the tags and classes
+on the way to it and within it, in order, without text). Spark counts per host on how many pages each hash stands, where pages whose text by the rules below is equal count as
+one: what stands only on copies of a page is no template's. A subtree on at least SHARE of a host's pages, and on MANY at least, is a template's
+and is deleted: by its text wherever it stands; by its shape, as of a menu or an advert that is filled anew for each page, if it is built (has a class or an id, blocks
+inside, or a tag such as nav or footer; runs of links alike count as one) and holds at most PART of the text of the pages it stands on, but not inside what holds most of its page's text, where lists and quotations of an article may be alike.
+
+Templates are deleted first. What is left goes through rules, for hosts with too few pages to count: the text of
 article elements, else of main, else of the body, without navigation, headers, footers, sidebars, notices, adverts, forms, reader comments and scripts.
 The elements html, body, main and article are never deleted as templates.
 
 Defined results: a null or empty html has the text ''; a page that is cut off ends where it is cut; a url without a host belongs to the host ''; a null page_id or
-url is kept; repeated rows count as one page and are all kept; an empty table gives no rows; other columns are ignored.
+url is kept; repeated rows count as one page and are all kept; pages of any length are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +30,8 @@ from .common import cut, small_batches, table
 
 #: A template's subtree stands on this share of its host's pages, and on so many.
 SHARE, MANY = 0.5, 8
+#: The most of its pages' text that a template without a text of its own holds.
+PART = 0.3
 #: Bytes of template lists up to which they are broadcast; beyond, pages are joined with them by host.
 BROADCAST = 16_000_000
 
@@ -41,13 +48,17 @@ DROPPED = frozenset("nav footer aside form script style noscript template iframe
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|newsletters?|subscribe|subscription|signup|popup|modal|overlay|sidebar|side|aside|menus?|nav|navbar|navigation|breadcrumbs?|topbar|masthead|header|footer|comments?|replies|disqus|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|toolbar|pagination|pager|login|search|skip)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar alertdialog".split())
 WHOLE = frozenset(("html", "body", "main", "article", "#page"))
+#: Elements that are parts of a page's frame without a class too.
+FRAMES = frozenset("nav footer header aside form dialog menu".split())
+PAGES = frozenset(("html", "body", "#page"))
 
 
 class Node:
-    __slots__ = ("children", "digest", "drop", "mark", "tag")
+    __slots__ = ("built", "children", "digest", "drop", "free", "link", "mark", "shape", "size", "tag")
 
     def __init__(self, tag: str, mark: str = "", drop: bool = False):
-        self.tag, self.mark, self.drop, self.children, self.digest = tag, mark, drop, [], 0
+        self.tag, self.mark, self.drop, self.children = tag, mark, drop, []
+        self.digest, self.shape, self.size, self.link, self.built, self.free = 0, 0, 0, 0, bool(mark) or tag in FRAMES, True
 
 
 def _open(tag: str, attributes: str) -> Node:
@@ -119,22 +130,53 @@ def _signed(text: str) -> int:
 
 
 def hashed(top: Node) -> Node:
-    for n in _walk(top):
-        inner = "\x1f".join(f"\x1e{c.digest}" if isinstance(c, Node) else " ".join(c.split()) for c in n.children)
-        n.digest = _signed(f"{n.tag}\x1d{n.mark}\x1d{inner}")
+    """With both hashes, the size of the text, and whether a shape may go by its count."""
+    bare: dict[int, str] = {}
+    order = list(_walk(top))
+    for n in order:
+        inner, forms = [], []
+        for c in n.children:
+            if isinstance(c, Node):
+                inner.append(f"\x1e{c.digest}")
+                if not (forms and forms[-1] == bare[id(c)] and c.link == c.size):  # a list of links is one, however long
+                    forms.append(bare[id(c)])
+                n.size += 0 if c.tag in RAW else c.size
+                n.link += c.link
+                n.built |= c.built or c.tag in BLOCKS
+            else:
+                text = " ".join(c.split())
+                inner.append(text)
+                n.size += len(text)
+        n.link = n.size if n.tag == "a" else n.link
+        n.digest = _signed("\x1d".join((n.tag, n.mark, "\x1f".join(inner))))
+        bare[id(n)] = str(_signed("\x1d".join((n.tag, n.mark, *forms))))
+    most = top.size / 2
+    way = {id(top): ""}
+    for n in reversed(order):
+        own = way[id(n)] + f"/{n.tag}.{n.mark}"
+        n.shape = _signed(own + "\x1d" + bare[id(n)])
+        inside = not n.free or (n.tag not in PAGES and n.size >= most)
+        for c in n.children:
+            if isinstance(c, Node):
+                way[id(c)], c.free = own, not inside
     return top
 
 
-def subtree_hashes(page: str) -> tuple[int, list[int]]:
-    """The hash of the text by rules alone, and those of the elements that hold text."""
-    full: dict[int, bool] = {}
-    out = set()
+def subtree_hashes(page: str) -> tuple[int, dict[int, float]]:
+    """The hash of the text by rules alone, and the hashes of the elements that hold text, each with the part of the page's text that counts against it."""
+    out: dict[int, float] = {}
     top = hashed(tree(page))
+    whole = max(1, top.size)
     for n in _walk(top):
-        full[id(n)] = any(full[id(c)] if isinstance(c, Node) else bool(c.strip()) for c in n.children)
-        if full[id(n)] and n.tag not in WHOLE:
-            out.add(n.digest)
-    return _signed(_text(top, frozenset())), sorted(out)
+        if n.tag not in WHOLE and (n.size or n.tag in RAW):
+            out[n.digest] = 0.0
+            if n.built and n.tag not in RAW:
+                out[n.shape] = out.get(n.shape, 0.0) + n.size / whole
+    return _signed(_text(top, frozenset())), out
+
+
+def _template(n: Node, templates: frozenset[int]) -> bool:
+    return n.tag not in WHOLE and (n.digest in templates or (n.free and n.built and n.shape in templates))
 
 
 def _roots(top: Node, templates: frozenset[int]) -> list[Node]:
@@ -146,7 +188,7 @@ def _roots(top: Node, templates: frozenset[int]) -> list[Node]:
             if n.tag == wanted:
                 found.append(n)
                 continue
-            stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.drop and c.digest not in templates)
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.drop and not _template(c, templates))
         if found:
             return found
     return [top]
@@ -168,7 +210,7 @@ def _text(top: Node, templates: frozenset[int]) -> str:
                 own = []
             elif isinstance(x, str):
                 own.append(x)
-            elif not x.drop and not (x.tag == "header" and root.tag == "#page") and (x.tag in WHOLE or x.digest not in templates):
+            elif not x.drop and not (x.tag == "header" and root.tag == "#page") and not _template(x, templates):
                 inner = [" "] if x.tag == "br" else x.children
                 if x.tag in BLOCKS or x is root:
                     stack.append(None)
@@ -187,18 +229,23 @@ def host_of(url: Column) -> Column:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        mains, hashes = zip(*(subtree_hashes(h.as_py() or "") for h in batch.column(1)), strict=True) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "main", "hashes"])
+        found = [subtree_hashes(h.as_py() or "") for h in batch.column(1)]
+        ends = pa.array([0, *accumulate(len(f) for _, f in found)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array([x for _, f in found for x in part(f)], kind)) for part, kind in ((dict.keys, pa.int64()), (dict.values, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in found], pa.int64()), *lists], names=["host", "main", "hashes", "parts"])
 
 
-def templates(pages: DataFrame, share: float = SHARE, many: int = MANY) -> DataFrame:
+def templates(pages: DataFrame, share: float = SHARE, many: int = MANY, part: float = PART) -> DataFrame:
     """host, hashes: of subtrees that recur on a host. Each stands on a share of its pages, so a host's list is no longer than a few pages."""
-    own = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), 512).mapInArrow(_hashes, "host string, main long, hashes array<long>")
+    own = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(_hashes, "host string, main long, hashes array<long>, parts array<double>")
     # One scan counts both: a host's pages under a null hash, each subtree under its own. Copies of a page count once.
-    counts = own.select("host", "main", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count_distinct("main").alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= many))
-    counts = counts.groupBy("host").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("c"))
-    found = counts.select("host", F.transform(F.filter("c", lambda x: x["n"] >= F.col("pages") * share), lambda x: x["hash"]).alias("hashes"))
-    return found.filter(F.size("hashes") > 0)
+    pairs = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0.0).alias("part"))), F.arrays_zip(F.col("hashes").alias("hash"), F.col("parts").alias("part")))
+    counts = own.select("host", "main", F.inline(pairs)).groupBy("host", "hash").agg(F.count_distinct("main").alias("n"), F.avg("part").alias("part"))
+    counts = cut(counts.filter((F.col("n") >= many) & (F.col("part") <= part)))
+    # Only what a host's list will hold is collected.
+    sizes = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
+    kept = counts.filter("hash is not null").join(sizes, "host").filter(F.col("n") >= F.col("pages") * share)
+    return kept.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +261,7 @@ def extract(pages: DataFrame, share: float = SHARE, many: int = MANY) -> DataFra
     if size <= BROADCAST:
         found = F.broadcast(found)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(found, host_of(F.col("url")) == F.col("t_host"), "left")
-    return small_batches(rows.select("page_id", "url", "html", "hashes"), 512).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return small_batches(rows.select("page_id", "url", "html", "hashes")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
