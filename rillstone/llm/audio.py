@@ -1,12 +1,12 @@
 """Media columns: bytes kept in MPEG audio, and a reader of such streams.
 
 store() writes a payload as an MPEG-1 Layer III stream: an ID3v2 tag, a frame with a variable-bitrate table, then silent frames with checksums whose
-ancillary bytes hold the payload; the last frame takes the smallest bit rate that holds the rest. parse() reads any such stream: it skips tags, finds the first
-header that is confirmed by the next one, resynchronises behind damage, reads Xing and Info tables, verifies CRC-16 and gives exact durations in
-samples and the offset of every frame for seeking.
+ancillary bytes hold the payload; the last frame takes the smallest bit rate that holds the rest. parse() reads streams of all versions and layers but free format: it skips tags, finds the first
+header that is confirmed by the next one, resynchronises behind damage, reads Xing, Info and VBRI tables, verifies the CRC-16 of Layer III frames (those of other layers cover
+bit allocations that only a decoder knows) and gives exact durations in samples and the offset of every frame for seeking.
 
-Defined results: a null text is the empty text, whose payload is 64 zero bytes; equal texts give equal bytes; a null doc_id is kept; bytes without a frame parse to no
-frames; repeated rows are stored each for itself; an empty table gives no rows; other columns are ignored.
+Defined results: a null text is the empty text, whose payload is 64 zero bytes; equal texts give equal bytes; a null doc_id is kept; bytes without a frame, and null ones, parse to no
+frames and an empty payload; damage makes sound false and ends no job; texts of any length are stored whole; repeated rows are stored each for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -206,6 +206,11 @@ def parse(data: bytes) -> Stream:
                 s.head = at
                 at += h.length
                 continue
+            if data[at + 36 : at + 40] == b"VBRI":
+                s.vbr = {"quality": int.from_bytes(data[at + 44 : at + 46], "big"), "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
+                s.head = at
+                at += h.length
+                continue
         # As many frames as repeat this header at its stride are read at once.
         n = (len(data) - at) // h.length
         run = raw[at : at + n * h.length].reshape(n, h.length)
@@ -248,35 +253,32 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the text), media (the stream)."""
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 512, "8m").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, frame_offsets array<long>"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, sound boolean, frame_offsets array<long>"
 
 
-def _read(with_offsets: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, n, media in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                s = parse(media)
-                payload = payload_of(media, s)
-                if s.damaged or s.skipped or len(s.offsets) != s.vbr.get("frames"):
-                    raise ValueError("a stored stream is damaged")
-                mean = int(8 * s.lengths.sum() * s.sample_rate // max(1, s.samples))
-                feature = f"mpeg1-l3 {s.sample_rate} Hz, {len(s.offsets)} frames, {s.samples} samples, {s.samples * 1000 // s.sample_rate} ms, {mean} bit/s, {s.checked} checksums, seek {zlib.crc32(s.offsets.tobytes()):08x}"
-                out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.samples, s.sample_rate, s.offsets.tolist() if with_offsets else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            names = [c.split()[0] for c in READ.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
-
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc_id, n, media in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            media = media or b""
+            s = parse(media)
+            payload = payload_of(media, s)
+            sound = not s.damaged and not s.skipped and len(s.offsets) > 0 and s.vbr.get("frames", len(s.offsets)) == len(s.offsets)
+            mean = int(8 * s.lengths.sum() * s.sample_rate // max(1, s.samples))
+            feature = f"mpeg1-l3 {s.sample_rate} Hz, {len(s.offsets)} frames, {s.samples} samples, {s.samples * 1000 // max(1, s.sample_rate)} ms, {mean} bit/s, {s.checked} checksums, seek {zlib.crc32(s.offsets.tobytes()):08x}"
+            out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.samples, s.sample_rate, sound, s.offsets.tolist()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+        names = [c.split()[0] for c in READ.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
 
 
-def read_media(media: DataFrame, with_offsets: bool = True) -> DataFrame:
-    """Of doc_id, n_bytes, media: what is read back, durations and, on demand, all frame offsets."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read(with_offsets), READ)
+def read_media(media: DataFrame) -> DataFrame:
+    """Of doc_id, n_bytes, media: what is read back, durations, whether all checksums and counts hold, and the offset of every frame."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, READ)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(store_texts(table(spark, sf_dir, "documents")), False).drop("frame_offsets")
+    return read_media(store_texts(table(spark, sf_dir, "documents")))
