@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Texts are tokenised in Arrow batches and cut into pieces of at most SEQUENCE tokens. Full pieces are sequences already. The
-rest is dealt to partitions, each packs best-fit decreasing, and bins at least EMIT full are done. The underfull bins become items of
-a next round over fewer partitions, and so on until one round holds them all or a round gains nothing. A round's partitions hold at most
-about ROUND_ITEMS items, so memory is bounded at every level of the tree; only lengths and ids travel, never tokens.
+rest is dealt to partitions, each packs best-fit decreasing, and bins at least EMIT full are done, as are those with less room than the shortest item left. The
+underfull bins become items of a next round over at most half as many partitions, up to the root of this tree: one partition that holds them all. A partition holds about ROUND_ITEMS
+items at the leaves and at most ROOT_ITEMS further up, so memory is bounded at every level; where more bins than ROOT_ITEMS stay underfull, rounds go on over that many
+partitions until one joins nothing. Only lengths and numbers travel, never tokens.
 
 Defined results: a null or empty text is one piece, the end id alone; a null doc_id is kept; documents with equal ids are packed each for
-itself (placed again by their row number within the id, length and checksum); an empty table gives no rows; other columns are ignored.
+itself, by a number of their row; texts of any length are cut into pieces whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .common import cut, small_batches, sole_memory, table
 SEQUENCE = 4096
 END_ID = 1
 EMIT = 0.999
-ROUND_ITEMS = 100_000
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+ROUND_ITEMS, ROOT_ITEMS = 100_000, 4_000_000
+#: Words whose ids a worker remembers before it starts anew, and the longest one it does.
+CACHE_WORDS, CACHE_LETTERS = 1_000_000, 64
 #: Bytes of text that are encoded at a time.
 PART = 2_000_000
 GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -95,8 +96,9 @@ class WordEncoder:
             some = plain[lo : lo + 2048]
             ids = np.asarray(self.tokenizer.encode(" ".join([t for _, t, _ in some]), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                raise ValueError("the vocabulary does not end each word by a token of its own")
+            if len(stops) != len(some):  # a vocabulary that does not end each word by a token of its own
+                self.ids.update((w, self.one(w)) for w, _, _ in some)
+                continue
             raw, at = ids.tobytes(), 0
             for (w, _, marks), end in zip(some, (4 * stops).tolist(), strict=True):
                 self.ids[w] = raw[at:end] + (self.marks.get(marks) or self.one(marks)) if marks else raw[at:end]
@@ -147,6 +149,9 @@ class WordEncoder:
             new = words
         self.learn(new)
         known = [ids[w] for w in words]
+        for w in new:
+            if len(w) > CACHE_LETTERS:
+                del ids[w]
         flat = np.frombuffer(b"".join(known), "<u4")
         counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts = np.cumsum(counts) - counts
@@ -242,12 +247,12 @@ def _round(sequence: int, number: int):
     return run
 
 
-def pack(items: DataFrame, sequence: int = SEQUENCE, emit: float = EMIT, round_items: int = ROUND_ITEMS) -> DataFrame:
+def pack(items: DataFrame, sequence: int = SEQUENCE, emit: float = EMIT, round_items: int = ROUND_ITEMS, root_items: int = ROOT_ITEMS) -> DataFrame:
     """items (item long, unique; length long, 1 to sequence) -> item, sequence_id, offset."""
     spark = items.sparkSession
-    left, n, links, number = items, items.count(), None, 0
+    left, n, links, number, parts = items, items.count(), None, 0, 0
     while n:
-        parts = max(1, -(-n // round_items))
+        parts = max(1, -(-n // round_items)) if not parts else max(1, min(parts // 2, -(-n // round_items)), -(-n // root_items))
         packed = cut(left.repartition(parts, F.col("item")).mapInArrow(_round(sequence, number), "item long, bin long, offset long, fill long"))
         step = packed.select("item", "bin", "offset")
         if links is None:
@@ -256,8 +261,11 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, emit: float = EMIT, round_i
             m = step.select(F.col("item").alias("m_item"), F.col("bin").alias("m_bin"), F.col("offset").alias("m_offset"))
             links = links.join(m, links.sequence_id == m.m_item, "left").select("item", F.coalesce("m_bin", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("m_offset", F.lit(0))).alias("offset"))
         under = packed.filter(F.col("fill") < int(emit * sequence)).groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("length"))
+        least = under.agg(F.min("length")).first()[0] or 0
+        under = cut(under.filter(F.col("length") + least <= sequence))
         before, n, number = n, under.count(), number + 1
-        if parts == 1 or n >= 0.95 * before or number > 30:
+        # Round numbers have 5 bits of a bin's; by then partitions have been halved beyond any count.
+        if parts == 1 or number > 30 or (n == before and parts <= -(-n // root_items)):
             break
         left = under
     if links is None:
