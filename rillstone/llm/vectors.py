@@ -2,9 +2,12 @@
 
 Centroids are fitted on at most SAMPLE vectors, taken by hash order; every vector is assigned. A vector also visits those cells with a smaller number that a linked vector
 could lie in: a vector of cell b lies on b's side of the plane between two centroids, so x of cell a can be within the angle t of it only if
-x . (c_a - c_b) / |c_a - c_b| <= sin t. This bound is exact, so no link is lost whatever the centroids. Cells are dealt in blocks of BLOCK
-members; a job multiplies two blocks in double precision and returns counts of links and a star for each component, never pairs. Equal
-vectors are one class with a count.
+x . (c_a - c_b) / |c_a - c_b| <= sin t. This bound is exact, so no link is lost whatever the
+centroids. Cells are dealt in blocks of BLOCK members; a job multiplies two blocks in double precision, slab by slab, and returns counts of links and a star for each component, never
+pairs. A vector travels once for each block it meets, so blocks are as large as a task's memory easily holds (two of 64 numbers a vector take 17 MB). Equal vectors are one class with a count.
+
+The number of centroids is bounded by the sample (SAMPLE / EACH); beyond, cells grow, and their blocks keep tasks bounded. Vectors without any clusters are in reach of
+most cells at this threshold, and work is then that of all blocks against all.
 
 Defined results: a vector that is null, empty or zero or holds a null or non-finite component has no links, and is its own component; vectors of different lengths
 do not link; repeated rows count as vectors of their own and share a component; a null vec_id is never a component's name unless alone; an empty table
@@ -24,8 +27,10 @@ from .common import cut, small_batches, table
 from .components import components, forest
 from .sketches import grouped
 
-#: Vectors that centroids are fitted on, vectors a cell should hold, most cells, vectors in a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 2048, 4096, 2048
+#: Vectors that centroids are fitted on, vectors of it for each centroid at least, vectors a cell should hold, vectors in a block.
+SAMPLE, EACH, CELL, BLOCK = 20_000, 4, 16_384, 16_384
+#: Products are taken so many numbers at a time.
+SLAB = 8_000_000
 
 
 def units(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -80,8 +85,9 @@ def _compare(threshold: float):
             if not first or n < 2:
                 continue
             links, i_all, j_all = np.zeros(n, np.int64), [], []
-            for lo in range(0, first, 1024):
-                hit = x[lo : min(lo + 1024, first)] @ (x.T if own else x[first:].T) >= threshold
+            step = max(1, SLAB // n)
+            for lo in range(0, first, step):
+                hit = x[lo : min(lo + step, first)] @ (x.T if own else x[first:].T) >= threshold
                 if own:
                     hit[np.arange(len(hit)), lo + np.arange(len(hit))] = False
                 links[lo : lo + len(hit)] += hit @ copies[0 if own else first :]
@@ -115,14 +121,14 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, cell: int = CELL,
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     centroids = {}
     for dim, n in by_dim.items():
-        k = max(1, min(MOST_CELLS, -(-n // cell)))
+        k = max(1, min(SAMPLE // EACH, -(-n // cell)))
         sample = classes.filter(F.col("dim") == dim).select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks() if k > 1 else None
         centroids[dim] = spherical_k_means(units(sample, dim), k) if k > 1 else np.eye(1, dim)
-    placed = cut(small_batches(classes.select("cid", "embedding", "dim"), 4096).mapInArrow(_assign(centroids, threshold), "cid long, embedding array<double>, dim int, cell int, visits array<int>"))
+    placed = cut(small_batches(classes.select("cid", "embedding", "dim")).mapInArrow(_assign(centroids, threshold), "cid long, embedding array<double>, dim int, cell int, visits array<int>"))
     placed = placed.join(classes.select("cid", "copies"), "cid")
     n_home = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"))
     n_visit = placed.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("v"))
-    # One row for each cell, at most MOST_CELLS for each length of vectors.
+    # One row for each cell, at most SAMPLE / EACH for each length of vectors.
     cells = n_home.join(n_visit, ["dim", "cell"], "left").select("dim", "cell", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.coalesce("v", F.lit(0)) / block).cast("int").alias("nv"))
     salt = lambda n, s: F.pmod(F.xxhash64(F.lit(s), "cid"), n).cast("int")
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
@@ -135,7 +141,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, cell: int = CELL,
     guests = guests.select("cid", "copies", "dim", "embedding", F.explode(F.transform(all_of(F.col("nb")), lambda t: F.struct(job(F.col("mine"), t).alias("job"), F.lit(0).alias("side")))).alias("x"))
     jobs = home.unionByName(guests).select("x.job", "cid", "copies", "dim", "x.side", F.col("embedding").cast("array<double>").alias("embedding"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(small_batches(jobs.repartition(parts, "job").sortWithinPartitions("job"), 4096).mapInArrow(_compare(threshold), "cid long, links long, root long"))
+    found = cut(small_batches(jobs.repartition(parts, "job").sortWithinPartitions("job")).mapInArrow(_compare(threshold), "cid long, links long, root long"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
