@@ -192,3 +192,195 @@ def test_packing_ids(spark):
         assert offsets[at].tolist() == [0, *np.cumsum(lengths[at])[:-1].tolist()]
         assert lengths[at].sum() <= 4096
     assert zlib.crc32(b"") == 0
+
+
+def test_templates_decide_before_article_and_without_it(spark):
+    """Menus and adverts filled anew for each page, without a telling tag or class, go by their shape; a notice within an article by its text."""
+    links = lambda i: "".join(f"<li><a href='/{j}'>topic {i * 7 + j}</a></li>" for j in range(3 + i % 3))
+    frame = lambda i, inner: f"<body><div class='q1'><ul>{links(i)}</ul></div><div class='q2'>buy number {i} now</div>{inner}<div class='q3'>page {i} of the site</div></body>"
+    words = lambda i: " ".join(f"word{i}x{j}" for j in range(60 + i))
+    plain = [(i, "http://a.example/", frame(i, f"<div class='c'><p>{words(i)}</p><ul><li>one {i}</li><li>two {i}</li></ul></div>")) for i in range(12)]
+    article = [(i, "http://b.example/", frame(i, f"<article><p>{words(i)}</p><div class='z'>Read on in our shop</div></article>")) for i in range(12, 24)]
+    few = [(i, "http://c.example/", frame(i, f"<div class='c'><p>{words(i)}</p></div>")) for i in range(24, 27)]
+    pages = spark.createDataFrame(plain + article + few, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in webpages.extract(pages).collect()}
+    off = {r.page_id: r.text for r in webpages.extract(pages, many=1000).collect()}
+    for i in range(12):
+        assert got[i] == f"{words(i)}\n\none {i}\n\ntwo {i}"
+        assert f"buy number {i} now" in off[i]
+    for i in range(12, 24):
+        assert got[i] == words(i)
+        assert off[i] == f"{words(i)}\n\nRead on in our shop"
+    assert all(got[i] == off[i] for i in range(24, 27))
+
+
+def test_templates_equal_a_count_by_hand(spark):
+    """The whole of a table against counting in plain Python; templates alone, without any rule, delete nine tenths of what is not article text, and none of that."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    rows = duckdb.sql(f"select page_id, regexp_extract(url, '://([^/?#:]*)', 1), html from '{path}'").fetchall()
+    mains, seen, parts = {}, {}, {}
+    for _, host, page in rows:
+        main, found = webpages.subtree_hashes(page or "")
+        mains.setdefault(host, set()).add(main)
+        for h, part in found.items():
+            seen.setdefault((host, h), set()).add(main)
+            parts.setdefault((host, h), []).append(part)
+    lists = {}
+    for (host, h), pages in seen.items():
+        if len(pages) >= max(webpages.MANY, webpages.SHARE * len(mains[host])) and sum(parts[host, h]) / len(parts[host, h]) <= webpages.PART:
+            lists.setdefault(host, set()).add(h)
+    want = {i: webpages.main_text(page, frozenset(lists.get(host, ()))) for i, host, page in rows}
+    assert {r.page_id: r.text for r in webpages.extract(spark.read.parquet(path)).collect()} == want
+
+
+def test_mix_of_repeated_rows(spark):
+    """Equal rows are documents each for itself: twenty of ten words and a budget of 163 give 163 words."""
+    rows = [(7, "w " * 10, "en", "a", 0, 0, 0, "")] * 20 + [(7, "v " * 10, "en", "a", 0, 0, 0, "")] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    share = 163 / 230
+    assert mixing.mix(docs, share=share).select(F.sum(mixing.n_words(F.col("text")))).first()[0] == 163
+    out = mixing.takes(mixing.keyed_documents(docs), share=share, range_rows=2).collect()
+    assert sum(r.taken for r in out) == 163
+    assert all(0 <= r.taken <= 10 for r in out)
+
+
+def test_packing_over_several_rounds(spark):
+    """Coverage, gapless offsets, the limit, and few more sequences than one global best-fit; lengths over half a sequence, which never join, end the rounds too."""
+    for lengths in (np.random.default_rng(5).integers(1, 100, 3000), np.full(400, 60), np.asarray([1])):
+        items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item long, length long")
+        got = packing.pack(items, 100, round_items=100).join(items, "item").collect()
+        assert sorted(r.item for r in got) == list(range(len(lengths)))
+        by = {}
+        for r in got:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in by.values():
+            at = 0
+            for offset, n in sorted(parts):
+                assert offset == at
+                at += n
+            assert at <= 100
+        best = packing.best_fit(np.sort(lengths)[::-1], 100)[0].max() + 1
+        assert len(by) <= best * 1.05 + 1  # leaves of a hundred items
+
+
+def test_packing_documents_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    rows = [(i, "some plain words, and more. " * (i * 13 % 41)) for i in range(40)] + [(99, None), (99, "a" * 3000), (None, "x")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), sequence=64, round_items=8).collect()
+    want = []
+    for i, t in rows:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i, p, at, len(ids[at : at + 64]), zlib.crc32(np.asarray(ids[at : at + 64], "<u4").tobytes())) for p, at in enumerate(range(0, len(ids), 64))]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()]
+        assert sum(n for _, n in parts) <= 64
+
+
+def test_media_columns_against_the_bytes(spark):
+    rows = [(i, "éx" * (i * 997)) for i in range(6)] + [(None, None)]
+    for r in audio.read_media(audio.store_texts(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        body = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]))
+        assert r.sound and len(r.frame_offsets) * 1152 == r.duration_samples
+    broken = spark.createDataFrame([(1, 0, b"no sound"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert [r.sound for r in audio.read_media(broken).collect()] == [False, False]
+
+
+def test_many_copies_of_a_row(spark):
+    """Fifty thousand copies of one row and a near copy: two classes, and no task that holds the texts of copies."""
+    base = "the quick brown fox jumps over the lazy dog and runs away from the very old house near a dark wood at night again"
+    rows = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(base).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(2, base + " today"), (3, "other words " + base[:20])], "doc_id long, text string"))
+    got = {(r.doc_id, r.component_id, r.kept): r.n for r in sketches.near_duplicates(rows, 3, (85, 100)).groupBy("doc_id", "component_id", "kept").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 1, True): 50_000, (2, 1, False): 1, (3, 3, True): 1}
+    assert sorted(r.doc_id for r in sketches.drop_near_duplicates(rows, 3, (85, 100)).collect()) == [1, 3]
+    cleaned = lines.drop_repeated_lines(spark.range(5_000).select("id", F.col("id").alias("doc_id"), F.concat(F.lit("a b\nc d\ne f\nown "), F.col("id").cast("string")).alias("text")))
+    assert cleaned.filter("text = concat('own ', id)").count() == 4_999
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """The stages in a row on a small corpus, each held against a plain computation on its own input."""
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns = docs.columns
+    # Toxicity: what stays is what scores below the cut, unchanged.
+    scorer = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    one = cp.filter_toxic(spark, docs, d)
+    own = toxicity.Scorer(*scorer.dictionaries).open() if scorer else None
+    if own:
+        own.weights = scorer.weights
+    kept = {r.doc_id: r.text for r in one.collect()}
+    assert kept == {i: t for i, t in texts.items() if own is None or own.score(t) < toxicity.CUT}
+    # Line dedup: windows of three lines, or fewer that hold fifty words, seen earlier.
+    seen, gone = set(), {i: set() for i in kept}
+    for i in sorted(kept):
+        ls = [(n, x.strip(" ")) for n, x in enumerate((kept[i] or "").split("\n")) if x.strip(" ")]
+        for p in range(len(ls)):
+            n, total = 3, 0
+            for j in range(3):
+                total += len(ls[p + j][1].split()) if p + j < len(ls) else 0
+                if total >= 50:
+                    n = j + 1
+                    break
+            if p + n <= len(ls):
+                key = tuple(x for _, x in ls[p : p + n])
+                if key in seen:
+                    gone[i].update(m for m, _ in ls[p : p + n])
+                seen.add(key)
+    two = cp.dedup_lines(spark, one, d)
+    cleaned = {r.doc_id: r.text for r in two.collect()}
+    assert two.columns == columns
+    assert cleaned == {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in kept.items()}
+    # Near duplicates: five-word shingles, 0.8.
+    sets = {}
+    for i, t in cleaned.items():
+        w = sketches_words(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in by.values() for n, a in enumerate(ids) for b in ids[n + 1 :]}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    three = cp.dedup_near(spark, two, d)
+    assert sorted(r.doc_id for r in three.collect()) == sorted(i for i in root if root[i] == i)
+    # Mixing: words per source come to the targets.
+    four = cp.mix_sources(spark, three, d)
+    assert four.columns == columns
+    count = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    sizes, mixed = count(three), count(four)
+    names, weight = sorted(sizes), {n: (5, 2, 1)[i % 3] for i, n in enumerate(sorted(sizes))}
+    target, full = {}, set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[n] for n in full)
+        target = {n: 3 * sizes[n] if n in full else left * weight[n] / sum(weight[m] for m in names if m not in full) for n in names}
+        over = {n for n in names if target[n] > 3 * sizes[n]}
+        if not over:
+            break
+        full |= over
+    assert all(abs(mixed[n] - target[n]) <= 1 for n in names)
+    # Packing: all tokens of all rows.
+    five = cp.pack_sequences(spark, four, d)
+    encoder = packing.WordEncoder(packing.vocabulary_path())
+    assert five.agg(F.sum("length")).first()[0] == sum(len(encoder.encode(r.text)) + 1 for r in four.collect())
+
+
+def sketches_words(text):
+    return text.encode().translate(sketches._LOWER).split() if text else []
