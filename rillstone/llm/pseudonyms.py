@@ -3,9 +3,10 @@
 Values are found by pattern, validated, and permuted within their format by a keyed Feistel network over a product of two ranges: so equal values get equal
 pseudonyms in all documents, different values different ones, and with the key the permutation can be undone. A card number stays valid by Luhn's rule, with its
 spacing; a phone number, by North American groups or in any international form from a plus on, keeps its country code and marks; an IPv4 address stays one; a social security number stays in the valid ranges; a
-date stays a date of its notation, within 73,200 days. The name of a mail address gets a keyed name of its own (not undone), its domain stays.
+date of the years 1 to 9999 stays a date of its notation, within its 73,200 days; an IBAN keeps country and form and gets check digits that hold. The name of a mail address is permuted letter for letter and
+digit for digit, in its case; its domain stays.
 
-Values that fail validation (Luhn, octets over 255, dates that do not exist) are left as they are. Of a run of digit groups every span of whole groups of 13 to 19
+Values that fail validation (Luhn, octets over 255, dates that do not exist, check digits of an IBAN) are left as they are, as are IPv6 addresses. Of a run of digit groups every span of whole groups of 13 to 19
 digits is tried as a card: unbroken ones and the groups 4-4-4-4 and 4-6-5 first, then longer and earlier ones. Where card numbers stand beside other groups, a
 pseudonym may by chance make another span valid, which undo then takes; equal card numbers keep equal pseudonyms. Slash dates are mm/dd/yyyy, or dd/mm/yyyy if the first number is over 12.
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import once, own_name, table
 
 ROUNDS = 8
-#: Stands for a secret; a deployment passes its own.
-KEY = "rillstone-demo-key"
+#: The key of the registered query alone; whoever else pseudonymises has to give one.
+DEMO_KEY = "rillstone-demo-key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
@@ -36,10 +37,14 @@ ABROAD = r"(?<![\w+.-])\+[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\d)"
 CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
 #: A run of digit groups of any length; a group that begins another kind of value is not of it.
 CARD = r"(?<![\w-])\d(?:(?:[ -](?!\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{2}-\d{4}(?![\w-])|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\d{1,2}[./]\d{1,2}[./]\d{4}(?![\d/])|\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|[A-Za-z0-9._%+-]++@))?\d){12,}+"
-ANY = "|".join((EMAIL, PHONE, ABROAD, SSN, ISO, LOCAL, IP, CARD))
-KINDS = ("email", "phone", "ssn", "date", "ip", "card")
-#: Days from 1900-01-01 that dates are permuted in, as 200 x 366.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+ANY = "|".join((EMAIL, IBAN, PHONE, ABROAD, SSN, ISO, LOCAL, IP, CARD))
+KINDS = ("email", "phone", "ssn", "date", "ip", "card", "iban")
+#: Dates are permuted in spans of 200 x 366 days, one of which begins on the first day; the earliest and latest date, in days from it.
 FIRST_DAY, YEARS, DAYS = "1900-01-01", 200, 366
+EARLIEST, LATEST = -693_595, 2_958_463
+#: Fixed classes of characters, within which names and account numbers are permuted.
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def digits(m: Column) -> Column:
@@ -67,6 +72,53 @@ def feistel(left: Column, right: Column, a: Column | int, b: Column | int, key:
     return F.aggregate(order, F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
 
 
+def permuted(text: Column, key: str, kind: str, undo: bool = False) -> Column:
+    """text with each digit and letter changed within its class: a Feistel network over the halves of the text, which add to each other class by class."""
+    half = F.floor((F.length(text) + 1) / 2).cast("int")
+
+    def shifted(x: Column, other: Column, i: Column) -> Column:
+        word = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other), 256)
+
+        def at(c: Column, j: Column) -> Column:
+            by = F.conv(F.substring(word, (j % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            out = c
+            for letters in CLASSES:
+                n, place = len(letters), F.instr(F.lit(letters), c) - 1
+                moved = F.pmod(place - by if undo else place + by, F.lit(n))
+                out = F.when(place >= 0, F.substring(F.lit(letters), moved + 1, F.lit(1))).otherwise(out)
+            return out
+
+        return F.array_join(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), at), "")
+
+    def turn(acc: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(F.when(even, shifted(acc["l"], acc["r"], i)).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(shifted(acc["r"], acc["l"], i)).alias("r"))
+
+    order = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
+    return F.aggregate(order, start, turn, lambda acc: F.concat(acc["l"], acc["r"]))
+
+
+def mod97(text: Column) -> Column:
+    """Of letters and digits, letters as 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda n, c: F.pmod(n * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)))
+
+
+def _iban_sound(m: Column) -> Column:
+    x = F.replace(m, F.lit(" "), F.lit(""))
+    return mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1
+
+
+def _iban(m: Column, key: str, undo: bool) -> Column:
+    """Spaces keep their places, as they take no part in the permutation."""
+    x = F.replace(m, F.lit(" "), F.lit(""))
+    land, body = F.substring(x, 1, 2), permuted(F.substring(x, F.lit(5), F.length(x)), key, "iban", undo)
+    new = F.concat(land, _pad(98 - mod97(F.concat(body, land, F.lit("00"))), 2), body)
+    at = lambda i: F.length(F.replace(F.substring(m, F.lit(1), i), F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(F.substring(m, i, F.lit(1)) == " ", " ").otherwise(F.substring(new, at(i), F.lit(1)))), "")
+
+
 def luhn_sum(d: Column) -> Column:
     """Luhn's sum of a string of digits whose last one is not doubled."""
     n = F.length(d)
@@ -184,20 +236,25 @@ def _day(m: Column) -> Column:
     local = F.try_to_date(F.format_string("%04d-%02d-%02d", part(2), F.when(month_first, part(0)).otherwise(part(1)), F.when(month_first, part(1)).otherwise(part(0))), "yyyy-MM-dd")
     day = F.when(m.rlike("^[0-9]{4}-"), F.try_to_date(m, "yyyy-MM-dd")).otherwise(local)
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    return F.when((n >= 0) & (n < YEARS * DAYS), n)
+    return F.when(n.between(EARLIEST, LATEST), n)
 
 
 def _date(m: Column, key: str, undo: bool) -> Column:
     n = _day(m)
 
+    span = YEARS * DAYS
+
     def step(n: Column) -> Column:
-        return F.get(F.transform(F.array(feistel(F.floor(n / DAYS), n % DAYS, YEARS, DAYS, key, "date", undo)), lambda x: (x["l"] * DAYS + x["r"]).cast("int")), F.lit(0))
+        own = F.pmod(n, F.lit(span))
+        return F.get(F.transform(F.array(feistel(F.floor(own / DAYS), own % DAYS, YEARS, DAYS, key, "date", undo)), lambda x: (n - own + x["l"] * DAYS + x["r"]).cast("int")), F.lit(0))
 
     date = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n)
-    # dd/mm/yyyy stays recognisable: the permutation goes on until the day is over 12 again (a round fails with 0.4).
-    days_first = F.aggregate(F.sequence(F.lit(1), F.lit(99)), step(n), lambda a, _: F.when(F.dayofmonth(date(a)) > 12, a).otherwise(step(a)))
+    # The permutation goes on until the day is one of the years 1 to 9999 (the first and last span reach beyond) and, for dd/mm/yyyy, over 12 again: a round fails with at most 0.8.
+    walk = lambda good: F.aggregate(F.sequence(F.lit(1), F.lit(199)), step(n), lambda a, _: F.when(good(a), a).otherwise(step(a)))
+    inside = lambda a: a.between(EARLIEST, LATEST)
+    edge = ~n.between(-9 * span, 40 * span - 1)
     slash = m.rlike("^(?:1[3-9]|[2-9][0-9])/")
-    day = date(F.when(slash, days_first).otherwise(step(n)))
+    day = date(F.when(slash, walk(lambda a: inside(a) & (F.dayofmonth(date(a)) > 12))).when(edge, walk(inside)).otherwise(step(n)))
     return F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(slash, F.date_format(day, "dd/MM/yyyy")).when(m.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
 
 
@@ -206,6 +263,7 @@ def kind_of(m: Column, cards: Column) -> Column:
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     return (
         F.when(m.contains("@"), "email")
+        .when(m.rlike("^[A-Z]"), F.when(_iban_sound(m), "iban"))
         .when(m.rlike(rf"^(?:{SSN})$"), F.when(~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"), "ssn"))
         .when(m.rlike(rf"^(?:{ISO})$") | m.rlike(rf"^(?:{LOCAL})$"), F.when(_day(m).isNotNull(), "date"))
         .when(m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.when(octets, "ip"))
@@ -215,13 +273,13 @@ def kind_of(m: Column, cards: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
-    """struct(kind, new, n) of a match, n the values replaced in it; names of mail addresses are not undone."""
-    mail = m if undo else F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@"), F.substring_index(m, "@", -1))
+def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
+    """struct(kind, new, n) of a match, n the values replaced in it."""
+    mail = F.concat(permuted(F.substring_index(m, "@", 1), key, "email", undo), F.lit("@"), F.substring_index(m, "@", -1))
 
     def replaced(known: Column) -> Column:
         kind, cards = known["kind"], known["cards"]
-        new = F.when(kind == "email", mail).when(kind == "phone", _phone(m, key, undo)).when(kind == "abroad", _abroad(m, key, undo)).when(kind == "ssn", _ssn(m, key, undo)).when(kind == "date", _date(m, key, undo)).when(kind == "ip", _ip(m, key, undo)).when(kind == "card", _run(m, cards, key, undo)).otherwise(m)
+        new = F.when(kind == "email", mail).when(kind == "phone", _phone(m, key, undo)).when(kind == "abroad", _abroad(m, key, undo)).when(kind == "ssn", _ssn(m, key, undo)).when(kind == "date", _date(m, key, undo)).when(kind == "ip", _ip(m, key, undo)).when(kind == "card", _run(m, cards, key, undo)).when(kind == "iban", _iban(m, key, undo)).otherwise(m)
         return F.struct(F.when(kind == "abroad", "phone").otherwise(kind).alias("kind"), new.alias("new"), F.when(kind == "card", F.size(cards)).otherwise(1).alias("n"))
 
     # Bound by transforms, so that neither is evaluated for each use.
@@ -230,7 +288,7 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     return F.get(F.transform(known, replaced), F.lit(0))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, undo: bool = False, counts: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, undo: bool = False, counts: bool = False) -> DataFrame:
     """docs with text replaced; with counts, n_<kind> of values replaced come behind."""
     found, pieces = own_name(docs, "found"), own_name(docs, "pieces")
     rows = docs.withColumn(found, once(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))))
@@ -242,4 +300,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, undo: bool = False, counts: bo
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY, counts=True)

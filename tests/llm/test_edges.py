@@ -43,7 +43,7 @@ def test_documents_operators_take_anything(spark, docs):
     assert cleaned.count() == n
     if n:
         assert cleaned.filter("doc_id = 5").first().text.startswith("zero\n\nend")  # the run one, two, three stands in 4 already
-    hidden = pseudonyms.pseudonymise(docs, counts=True)
+    hidden = pseudonyms.pseudonymise(docs, "k", counts=True)
     assert hidden.count() == n
     if n:
         assert "555-7713" not in hidden.filter("doc_id = 5").first().text
@@ -153,19 +153,19 @@ def test_near_duplicates_in_chunks(spark):
 def test_pseudonyms_undo(spark):
     text = "4111 1111 1111 1111 and 4845168114407329, 10.0.0.255, 999.1.1.1, 2020-02-29, 2021-02-29, 31.12.1999, 123-45-6789, +1 (017) 555-7713"
     df = spark.createDataFrame([(text,)], "text string")
-    new = pseudonyms.pseudonymise(df)
+    new = pseudonyms.pseudonymise(df, "k")
     got = new.first().text
     assert "999.1.1.1" in got and "2021-02-29" in got and "4111" not in got
-    assert pseudonyms.pseudonymise(new, undo=True).first().text == text
+    assert pseudonyms.pseudonymise(new, "k", undo=True).first().text == text
 
 
 def test_pseudonyms_beside_other_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [f"{card} 12/27", "4111111111111111 05/2027", f"{card} 123", f"12 {card}", f"{card} 3782 822463 10005", f"{card} 2020-01-02 a", "31/12/1999", "+49 30 1234567", "+44 20 7946 0958", "4111 1111 1111 1112"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    new = pseudonyms.pseudonymise(df, counts=True)
+    new = pseudonyms.pseudonymise(df, "k", counts=True)
     got = {r.doc_id: r for r in new.collect()}
-    alone = pseudonyms.pseudonymise(spark.createDataFrame([(card,)], "text string")).first().text
+    alone = pseudonyms.pseudonymise(spark.createDataFrame([(card,)], "text string"), "k").first().text
     assert got[0].text == f"{alone} 12/27" and got[2].text == f"{alone} 123" and got[3].text == f"12 {alone}"
     assert got[1].text == alone.replace(" ", "") + " 05/2027"
     assert got[4].n_card == 2 and got[4].text.startswith(alone) and "822463" not in got[4].text
@@ -174,7 +174,7 @@ def test_pseudonyms_beside_other_numbers(spark):
     for i, head in ((7, "+49 "), (8, "+44 ")):
         assert got[i].n_phone == 1 and got[i].text.startswith(head) and got[i].text != texts[i]
     assert got[9].text == texts[9]
-    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(new.select("doc_id", "text"), undo=True).collect()}
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(new.select("doc_id", "text"), "k", undo=True).collect()}
     assert [back[i] for i in range(len(texts))] == texts
 
 
@@ -384,3 +384,19 @@ def test_pipeline_stages_against_brute_force(spark):
 
 def sketches_words(text):
     return text.encode().translate(sketches._LOWER).split() if text else []
+
+
+def test_pseudonyms_of_dates_names_and_accounts(spark):
+    """Dates of all years, mail names and account numbers are permuted within their form, and come back."""
+    texts = ["1899-12-31", "2105-01-01", "0001-01-01", "9999-12-31", "30/12/0007", "31.01.9998", "Anna.B_7@mail.example.org", "a@b.cd", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "DE88370400440532013000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pseudonyms.pseudonymise(df, "k", counts=True)
+    got = {r.doc_id: r for r in new.collect()}
+    assert all(got[i].n_date == 1 and got[i].text != texts[i] and len(got[i].text) == 10 for i in range(6))
+    assert got[6].text.endswith("@mail.example.org") and got[6].text != texts[6] and got[6].text[4] == "." and got[6].text[0].isupper()
+    for i in (8, 9):
+        x = got[i].text.replace(" ", "")
+        assert got[i].n_iban == 1 and got[i].text != texts[i] and got[i].text[:2] == texts[i][:2] and len(got[i].text) == len(texts[i])
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert got[10].text == texts[10]
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(new.select("doc_id", "text"), "k", undo=True).collect()} == dict(enumerate(texts))
