@@ -26,6 +26,55 @@ class Agg:
     def over(self, w: WindowSpec, seq: str = "_seq") -> Column:
         return self._make(lambda c: c.over(w), True, seq).alias(self.name)
 
+    def parts(self) -> list[Agg]:
+        """Aggregates that, merged over blocks of rows, make up this one; none if it cannot be taken apart."""
+        n = lambda kind, i: Agg(kind, self.column, f"{self.name}_{i}", self.by)
+        match self.kind:
+            case "sum" | "count" | "min" | "max" | "global_min" | "global_max":
+                return [n(self.kind, 0)]
+            case "avg":
+                return [n("sum", 0), n("values", 1)]
+            case "int_avg":
+                return [n("sum", 0), n("count", 1)]
+            case "least_recent" if not self.by:
+                return [n("least_recent", 0), n("count", 1)]
+            case "most_recent" | "identity" if not self.by:
+                return [n("most_recent", 0)]
+        return []
+
+    def merged(self) -> Column:
+        """The aggregate, over one row of it for each block in order."""
+        x = F.col(self.name)
+        match self.kind:
+            case "min" | "global_min":
+                return F.min(x)
+            case "max" | "global_max":
+                return F.max(x)
+            case "least_recent":
+                return F.first(x)
+            case "most_recent":
+                return F.last(x)
+        return F.sum(x)
+
+    def joined(self, ahead: str, own: str) -> Column:
+        """This aggregate of its parts: those of the blocks ahead (null in the first), and those of the own block so far."""
+        a, o = ([F.col(f"{x}{p.name}") for p in self.parts()] for x in (ahead, own))
+        plus = lambda i: F.when(a[i].isNull(), o[i]).when(o[i].isNull(), a[i]).otherwise(a[i] + o[i])
+        match self.kind:
+            case "min" | "global_min":
+                return F.least(a[0], o[0])
+            case "max" | "global_max":
+                return F.greatest(a[0], o[0])
+            case "avg":
+                return F.try_divide(plus(0), plus(1))
+            case "int_avg":
+                return (plus(0) / plus(1)).cast("long")
+            case "least_recent":
+                return F.when(a[1].isNull(), o[0]).otherwise(a[0])
+            case "most_recent" | "identity":
+                return o[0]
+        return plus(0)
+
     def _make(self, o, framed: bool, seq: str) -> Column:
         x = F.col(self.column) if self.column else F.lit(1)
         recent = self.by or seq
@@ -34,6 +83,8 @@ class Agg:
                 return o(F.sum(x))
             case "count":
                 return o(F.count(F.lit(1)))
+            case "values":
+                return o(F.count(x))
             case "avg":
                 return o(F.avg(x))
             case "int_avg":

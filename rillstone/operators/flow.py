@@ -2,6 +2,10 @@
 
 Per-arrival results are functions of the arrival order `_seq`. A sliding window is only recorded; the next aggregate turns it into a window frame, so no retractions are made
 unless changelog() asks for them. Rows that a sink would drop as outdated are never produced.
+
+Operators that count rows need an order without gaps. Sources give one; filters, unions and files do not, and what follows them numbers the rows that are left (`_pos`). Without a
+key or a partition, windows are dealt in blocks of this order, each with the rows ahead that its first windows reach into, and running totals are those of a block plus the sums of the
+blocks ahead: no task sees all rows.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from rillstone.functions.aggregates import Agg
 
 Expr = Column | str
+#: Rows of a block of an order that has no partition of its own.
+BLOCK_ROWS = 16_384
 #: How serialised rows write times.
 BYTES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
@@ -42,6 +48,8 @@ class Flow:
     tx: str | None = None
     part: str | None = None
     window: Pending | None = None
+    #: Whether _seq counts from 0 without gaps (in each part).
+    dense: bool = True
 
     # -- building -----------------------------------------------------------------------------------------------
 
@@ -57,7 +65,7 @@ class Flow:
         return replace(self, df=df, **more)
 
     def where(self, predicate: Expr) -> Flow:
-        return self._with(self.df.filter(_col(predicate)))
+        return self._with(self.df.filter(_col(predicate)), dense=False)
 
     def map(self, *columns: Expr, **named: Expr) -> Flow:
         keep = [c for c in ("_seq", "_outdated", self.part, self.ts, self.key, self.tx) if c and c in self.df.columns]
@@ -67,7 +75,7 @@ class Flow:
 
     def map_rows(self, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Flow:
         """An opaque Python projection, batch by batch through Arrow."""
-        return self._with(self.df.mapInPandas(lambda it: map(f, it), schema))
+        return self._with(self.df.mapInPandas(lambda it: map(f, it), schema), dense=False)
 
     def key_by(self, key: str) -> Flow:
         return replace(self, key=key)
@@ -80,7 +88,7 @@ class Flow:
         return replace(self, tx=tx)
 
     def transform(self, f: Callable[[DataFrame], DataFrame]) -> Flow:
-        return self._with(f(self.df))
+        return self._with(f(self.df), dense=False)
 
     def notify(self, name: str, *metrics: Column) -> Flow:
         """Named metrics of what passes by, without another job."""
@@ -143,17 +151,18 @@ class Flow:
         out = df.groupBy(*self._parts(), *by).agg(F.min("_seq").alias("_seq"), *[F.max_by(F.when(F.col(p) == x, F.col(o)), F.when(F.col(p) == x, F.col("_seq"))).alias(x) for x in predicates], F.count_distinct(p).alias("_n"))
         if mode == "completed":
             out = out.filter(F.col("_n") == len(predicates))
-        return self._with(out.drop("_n", "_run"))
+        return self._with(out.drop("_n", "_run"), dense=False)
 
     def batch(self, n: int, keep_partial: bool = False) -> Flow:
+        df, pos = self._placed()
         rows = [c for c in self.df.columns if c not in ("_seq", self.part)]
         elem = F.struct("_seq", *rows)
-        out = self.df.groupBy(*self._parts(), F.floor(F.col("_seq") / n).alias("_b")).agg(F.sort_array(F.collect_list(elem)).alias("batch"))
+        out = df.groupBy(*self._parts(), F.floor(F.col(pos) / n).alias("_b")).agg(F.sort_array(F.collect_list(elem)).alias("batch"))
         out = out.select(*self._parts(), F.col("_b").alias("_seq"), "batch")
-        return self._with(out if keep_partial else out.filter(F.size("batch") == n))
+        return self._with(out if keep_partial else out.filter(F.size("batch") == n), dense=True)
 
     def unbatch(self) -> Flow:
-        return self._with(self.df.select(*self._parts(), F.inline("batch")))
+        return self._with(self.df.select(*self._parts(), F.inline("batch")), dense=False)
 
     # -- partitions ----------------------------------------------------------------------------------------------
 
@@ -165,10 +174,20 @@ class Flow:
         if self.part:
             raise ValueError("the flow is partitioned already")
         df = self.df.withColumn("_part", _col(f)).filter(F.col("_part").between(0, n - 1))
-        return self._with(dense_order(df, ["_seq"], "_part") if "_seq" in df.columns else df, part="_part")
+        return self._with(dense_order(df, ["_seq"], "_part") if "_seq" in df.columns else df, part="_part", dense=True)
 
     def merge(self) -> Flow:
-        return self._with(self.df.drop(self.part) if self.part else self.df, part=None)
+        return self._with(self.df.drop(self.part) if self.part else self.df, part=None, dense=False)
+
+    # -- order ---------------------------------------------------------------------------------------------------
+
+    def _placed(self) -> tuple[DataFrame, str]:
+        """The rows, and the column that counts them in order without gaps: _seq, or _pos where filters, unions or files have left gaps."""
+        if self.dense:
+            return self.df, "_seq"
+        if self.part:
+            return self.df.withColumn("_pos", (F.row_number().over(Window.partitionBy(self.part).orderBy("_seq")) - 1).cast("long")), "_pos"
+        return dense_order(self.df.withColumn("_own", F.col("_seq")), ["_own"]).withColumnsRenamed({"_seq": "_pos", "_own": "_seq"}), "_pos"
 
     # -- windows -------------------------------------------------------------------------------------------------
 
@@ -186,7 +205,8 @@ class Flow:
         """With the number of each row's window in _win."""
         w = self.window
         if w.kind == "row":
-            return self.df.withColumn("_win", F.floor(F.col("_seq") / int(w.size)))
+            df, pos = self._placed()
+            return df.withColumn("_win", F.floor(F.col(pos) / int(w.size)))
         if w.align == "epoch":
             return self.df.withColumn("_win", F.floor(self._micros() / int(w.size * 1_000_000)))
         size, parts = int(w.size * 1_000_000), self._parts()
@@ -209,7 +229,7 @@ class Flow:
         return self.df.join(ids, [*parts, "_seq"])
 
     def _frame(self, keys: list[str]):
-        """The DataFrame to aggregate over and the frame of the pending window."""
+        """The DataFrame to aggregate over and the frame of the pending window. Rows with _halo only fill windows of others."""
         w, parts = self.window, self._parts()
         if w is None:
             return self.df, Window.partitionBy(*parts, *keys).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -217,19 +237,57 @@ class Flow:
             return self._tumbled(keys), Window.partitionBy(*parts, "_win", *keys).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
         if w.kind == "row":
             # The buffer is one for all keys: a range over the dense order is right for every key.
-            return self.df, Window.partitionBy(*parts, *keys).orderBy("_seq").rangeBetween(-(int(w.size) - 1), 0)
-        return self.df.withColumn("_us", self._micros()), Window.partitionBy(*parts, *keys).orderBy("_us").rangeBetween(-(int(w.size * 1_000_000) - 1), 0)
+            df, pos = self._placed()
+            n = int(w.size)
+            by = [*parts, *keys]
+            if not parts:
+                df, by = _blocked(df, F.col(pos), max(BLOCK_ROWS, 4 * n), n - 1), ["_blk", *keys]
+            return df, Window.partitionBy(*by).orderBy(pos).rangeBetween(-(n - 1), 0)
+        size = int(w.size * 1_000_000)
+        df, by = self.df.withColumn("_us", self._micros()), [*parts, *keys]
+        if not by:
+            df, by = _blocked(df, F.col("_us"), 4 * size, size - 1), ["_blk"]
+        # Of rows with one time only those that came first are in the window. They get places behind their time, fewer than half a step, so that one distance holds for all.
+        tie = F.row_number().over(Window.partitionBy(*by, "_us").orderBy("_seq"))
+        # (Frames take distances up to 2^63: at a day so many as 2^24 rows of one key and microsecond have a place, at ten years 4,096.)
+        step = 1 << min(32, 62 - size.bit_length())
+        df = df.withColumn("_key", F.col("_us").cast("decimal(38,0)") * step + tie)
+        return df, Window.partitionBy(*by).orderBy("_key").rangeBetween(-((size - 1) * step + step // 2), 0)
 
     def _emitted(self, df: DataFrame, keys: list[str], aggs: tuple[Agg, ...], frame, every: int | None, seconds: float | None) -> Flow:
-        cols = [c for c in (*self._parts(), *keys, "_seq") if c]
-        keep = cols + ([self.ts] if self.ts and self.ts not in cols else [])
-        out = df.select(*keep, *[a.over(frame) for a in aggs], *(["_win"] if "_win" in df.columns else []))
+        """The rows with their aggregates; the columns of a row stay beside them."""
+        names = {a.name for a in aggs}
+        keep = [c for c in self.df.columns if c not in names] + [c for c in ("_win", "_halo", "_pos") if c in df.columns and c not in self.df.columns]
+        out = df.select(*keep, *[a.over(frame) for a in aggs])
+        out = out.filter("not _halo").drop("_halo") if "_halo" in out.columns else out
         if every:
-            rank = F.row_number().over(Window.partitionBy(*self._parts()).orderBy("_seq"))
-            out = out.withColumn("_rn", rank).filter(F.col("_rn") % every == 0).drop("_rn")
+            flow = replace(self, df=out) if self.dense else replace(self, df=out.drop("_pos"))
+            out, pos = (out, "_pos") if "_pos" in out.columns else flow._placed()
+            out = out.filter((F.col(pos) + 1) % every == 0)
+        out = out.drop("_pos")
         if seconds:
             out = self._triggered(out, int(seconds * 1_000_000))
-        return replace(self, df=out, window=None)
+        return replace(self, df=out, window=None, dense=self.dense and not every and not seconds)
+
+    def _totalled(self, aggs: tuple[Agg, ...], every: int | None, seconds: float | None) -> Flow:
+        """Running totals over one order: within blocks, with the totals of the blocks ahead."""
+        df, pos = self._placed()
+        df = df.withColumn("_blk", F.floor(F.col(pos) / BLOCK_ROWS))
+        frame = Window.partitionBy("_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        totals = df.groupBy("_blk").agg(*[p.total().alias(p.name) for a in aggs for p in a.parts()])
+        # One row for each block of BLOCK_ROWS rows.
+        ahead = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select("_blk", *[p.merged().over(ahead).alias("_a" + p.name) for a in aggs for p in a.parts()])
+        names = {a.name for a in aggs}
+        keep = [c for c in self.df.columns if c not in names]
+        out = df.select("_blk", *dict.fromkeys([*keep, pos]), *[p.over(frame).alias("_o" + p.name) for a in aggs for p in a.parts()]).join(totals, "_blk")
+        out = out.select(*dict.fromkeys([*keep, pos]), *[a.joined("_a", "_o").alias(a.name) for a in aggs])
+        if every:
+            out = out.filter((F.col(pos) + 1) % every == 0)
+        out = out.drop("_pos")
+        if seconds:
+            out = self._triggered(out, int(seconds * 1_000_000))
+        return replace(self, df=out, window=None, dense=self.dense and not every and not seconds)
 
     def _triggered(self, df: DataFrame, gap: int) -> DataFrame:
         """Rows at least gap microseconds after the row kept before; the first is held against time 0.
@@ -259,7 +317,9 @@ class Flow:
         """A window function of one's own: f turns the array of column over the pending window, in arrival order, into a value for each arrival."""
         df, frame = self._frame([])
         rows = F.sort_array(F.collect_list(F.struct(F.col("_seq").alias("s"), _col(column).alias("x"))).over(frame))
-        return replace(self, df=df.withColumn(name, f(F.transform(rows, lambda r: r["x"]))).drop("_us", "_win"), window=None)
+        out = df.withColumn(name, f(F.transform(rows, lambda r: r["x"])))
+        out = out.filter("not _halo") if "_halo" in out.columns else out
+        return replace(self, df=out.drop("_us", "_win", "_key", "_halo", "_blk", "_pos"), window=None)
 
     def aggregate(self, *aggs: Agg, emit: str = "each", every: int | None = None, seconds: float | None = None) -> Flow:
         """emit 'each': the aggregate at every arrival (or every n-th one); 'final': the totals, with partial aggregation and no order."""
@@ -267,6 +327,8 @@ class Flow:
             df = self._tumbled([]) if self.window and self.window.tumbling else self.df
             by = self._parts() + (["_win"] if "_win" in df.columns else [])
             return replace(self, df=df.groupBy(*by).agg(*[a.total() for a in aggs]), window=None)
+        if self.window is None and not self.part and all(a.parts() for a in aggs):
+            return self._totalled(aggs, every, seconds)
         df, frame = self._frame([])
         return self._emitted(df, [], aggs, frame, every, seconds)
 
@@ -282,23 +344,28 @@ class Flow:
 
     def changelog(self) -> Flow:
         """Inserts and, where the pending window lets rows go, retractions: columns _at (arrival that causes it) and _outdated."""
-        w = self.window
-        over = Window.partitionBy(*self._parts()).orderBy("_seq")
+        w, parts = self.window, self._parts()
         if w is None:
-            gone = F.lit(None).cast("long")
+            df = self.df.withColumn("_gone", F.lit(None).cast("long"))
         elif w.kind == "row" and not w.tumbling:
-            gone = F.lead("_seq", int(w.size)).over(over)
+            # A row goes when the one that many places behind comes.
+            df, pos = self._placed()
+            later = df.select(*parts, (F.col(pos) - int(w.size)).alias(pos), F.col("_seq").alias("_gone"))
+            df = df.join(later, [*parts, pos], "left")
         elif not w.tumbling:
-            ahead = Window.partitionBy(*self._parts()).orderBy("_us").rangeBetween(int(w.size * 1_000_000), Window.unboundedFollowing)
-            gone = F.min("_seq").over(ahead)
+            # The first arrival at least so much later; from the end, so that frames only grow.
+            df = self.df.withColumn("_us", self._micros())
+            df = df.withColumn("_gone", F.min("_seq").over(Window.partitionBy(*parts).orderBy(-F.col("_us")).rangeBetween(Window.unboundedPreceding, -int(w.size * 1_000_000))))
         else:
-            first = Window.partitionBy(*self._parts()).orderBy("_win").rangeBetween(1, Window.unboundedFollowing)
-            gone = F.min("_seq").over(first)
-        df = self._tumbled([]) if w and w.tumbling else self.df.withColumn("_us", self._micros()) if w and w.kind == "range" else self.df
-        df = df.withColumn("_gone", gone)
-        live = df.withColumn("_at", F.col("_seq")).withColumn("_outdated", F.lit(False))
-        dead = df.filter("_gone is not null").withColumn("_at", F.col("_gone")).withColumn("_outdated", F.lit(True))
-        return replace(self, df=live.unionByName(dead).drop("_us", "_win"), window=None)
+            df = self._tumbled([])
+            first = df.groupBy(*parts, "_win").agg(F.min("_seq").alias("_gone")).withColumn("_win", F.col("_win"))
+            order = Window.partitionBy(*parts).orderBy("_win")
+            first = first.select(*parts, "_win", F.lead("_gone").over(order).alias("_gone"))  # one row for each window
+            df = df.join(first, [*parts, "_win"], "left")
+        live = F.struct(F.col("_seq").alias("_at"), F.lit(False).alias("_outdated"))
+        dead = F.struct(F.col("_gone").alias("_at"), F.lit(True).alias("_outdated"))
+        both = F.when(F.col("_gone").isNull(), F.array(live)).otherwise(F.array(live, dead))
+        return replace(self, df=df.drop("_us", "_win", "_pos").select("*", F.inline(both)), window=None, dense=False)
 
     def stateful_map(self, f: Callable, initial: Callable[[], object], schema: str) -> Flow:
         """f(row, state) -> (new row or None, state), in arrival order, one state for each partition (and key, if there is one)."""
@@ -313,28 +380,40 @@ class Flow:
                     out.append(new)
             return pd.DataFrame(out)
 
-        return self._with(df.groupBy(*(by or ["_all"])).applyInPandas(run, schema))
+        return self._with(df.groupBy(*(by or ["_all"])).applyInPandas(run, schema), dense=False)
 
     # -- joins ---------------------------------------------------------------------------------------------------
 
-    def join(self, other: Flow, predicate: Expr | None = None, prefix: tuple[str, str] = ("l_", "r_")) -> Flow:
-        """Equality of both keys and the predicate over l_ and r_ columns. With a pending window on either side pairs must live at the same time."""
-        left, right = self._sided(prefix[0]), other._sided(prefix[1])
+    def join(self, other: Flow, predicate: Expr | None = None, prefix: tuple[str, str] = ("l_", "r_"), changes: bool = False) -> Flow:
+        """Equality of both keys (and of the parts, where both sides have them) and the predicate over l_ and r_ columns. With a pending window on either side pairs must live at the same
+        time. changes: pairs that end, as one of theirs leaves its window, come again with _outdated, _at the arrival that ends them."""
+        windowed = bool(self.window or other.window)
+        left, right = self._sided(prefix[0], windowed), other._sided(prefix[1], windowed)
         on = F.col(f"{prefix[0]}{self.key}") == F.col(f"{prefix[1]}{other.key}")
-        if self.window or other.window:
+        both = bool(self.part and other.part)
+        if both:
+            on = on & (F.col(f"{prefix[0]}{self.part}") == F.col(f"{prefix[1]}{other.part}"))
+        if windowed:
             live = lambda a, b: F.col(f"{b}_gone").isNull() | (F.col(f"{a}_seq") < F.col(f"{b}_gone"))
             on = on & live(*prefix) & live(*prefix[::-1])
         if predicate is not None:
             on = on & _col(predicate)
-        df = left.join(right, on, "inner").drop(f"{prefix[0]}_gone", f"{prefix[1]}_gone")
-        return Flow(df.withColumn("_seq", F.greatest(f"{prefix[0]}_seq", f"{prefix[1]}_seq")) if f"{prefix[0]}_seq" in df.columns else df, key=f"{prefix[0]}{self.key}")
-
-    def _sided(self, prefix: str) -> DataFrame:
+        df = left.join(right, on, "inner")
+        if f"{prefix[0]}_seq" in df.columns and f"{prefix[1]}_seq" in df.columns:
+            df = df.withColumn("_seq", F.greatest(f"{prefix[0]}_seq", f"{prefix[1]}_seq"))
+        if changes:
+            gone = F.least(f"{prefix[0]}_gone", f"{prefix[1]}_gone") if windowed else F.lit(None).cast("long")
+            dead = df.withColumn("_at", gone).filter("_at is not null").withColumn("_outdated", F.lit(True))
+            df = df.withColumn("_at", F.col("_seq")).withColumn("_outdated", F.lit(False)).unionByName(dead)
+        return Flow(df.drop(f"{prefix[0]}_gone", f"{prefix[1]}_gone"), key=f"{prefix[0]}{self.key}", part=f"{prefix[0]}{self.part}" if both else None, dense=False)
+
+    def _sided(self, prefix: str, windowed: bool) -> DataFrame:
         df = self.df
         if self.window:
-            log = self.changelog().df
             # Each row with the arrival that ends it, both sides on one arrival order.
-            df = log.filter("not _outdated").drop("_at", "_outdated")
+            df = self.changelog().df.filter("not _outdated").drop("_at", "_outdated")
+        elif windowed:
+            df = df.withColumn("_gone", F.lit(None).cast("long"))
         return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
     def scale_join(self, other: Flow, predicate: Expr | None = None, instances: int = 8) -> Flow:
@@ -342,10 +421,13 @@ class Flow:
         return self._with(self.df.repartition(instances, self.key)).join(other, predicate)
 
     def union(self, *others: Flow) -> Flow:
-        df = self.df
-        for o in others:
-            df = df.unionByName(o.df, allowMissingColumns=True)
-        return self._with(df)
+        """Rows of all flows; of rows with one number those of the earlier flow come first."""
+        n = len(others) + 1
+        dfs = [f.df.withColumn("_seq", F.col("_seq") * n + i) if "_seq" in f.df.columns else f.df for i, f in enumerate((self, *others))]
+        df = dfs[0]
+        for d in dfs[1:]:
+            df = df.unionByName(d, allowMissingColumns=True)
+        return self._with(df, dense=False)
 
     # -- complex events, sinks -----------------------------------------------------------------------------------
 
@@ -354,7 +436,19 @@ class Flow:
 
         return self._with(match(self.df, pattern, [*self._parts(), *([partition] if partition else [])], strategy, output))
 
-    match_by_nfa = matcher
+    def match_by_nfa(self, nfa, partition: str | None = None) -> Flow:
+        """First matches of an automaton (cep.Nfa), or of a pattern, one row for each event."""
+        return self.matcher(nfa, partition)
+
+    def to_table(self, table) -> Flow:
+        """Each row is inserted into a keyed table, or deletes its key if it is outdated, in order; the rows go on."""
+        table.fold(self.df)
+        return self
+
+    def update_table(self, table, update: Callable, insert: Callable | None = None) -> Flow:
+        """update(row, record) -> record, or None to delete it; insert(row) -> record or None, where the key has none. In order of arrival, key by key; the rows go on."""
+        table.update_each(self.df, self.key or table.key, update, insert)
+        return self
 
     def print(self, n: int = 20) -> Flow:
         self.current().df.show(n, truncate=False)
@@ -395,17 +489,28 @@ class Flow:
     extractJson, matchByNFA, sendZMQ = extract_json, match_by_nfa, send_zmq
 
 
+def _blocked(df: DataFrame, place: Column, width: int, reach: int) -> DataFrame:
+    """Blocks (_blk) of so wide a stretch of place; what lies within reach of the next block is in it too, with _halo."""
+    block = F.floor(place / width).cast("long")
+    own = F.struct(block.alias("_blk"), F.lit(False).alias("_halo"))
+    next_ = F.struct((block + 1).alias("_blk"), F.lit(True).alias("_halo"))
+    both = F.when(F.pmod(place, F.lit(width)) >= width - reach, F.array(own, next_)).otherwise(F.array(own))
+    return df.select("*", F.inline(both))
+
+
 def dense_order(df: DataFrame, order: list[str], part: str | None = None) -> DataFrame:
-    """With _seq, 0 to n - 1 in the given order (for each part).
+    """With _seq, 0 to n - 1 in the given order (for each part); rows that are equal in it are told apart by a hash of the whole row.
 
-    Rows are range-partitioned and sorted, partitions are counted, and each adds the counts ahead of it: a distributed row number. With a part, a plain
+    Rows are range-partitioned, sorted and written down, partitions are counted, and each adds the counts ahead of it: a distributed row number. With a part, a plain
     window does, as parts are independent.
     """
     df = df.drop("_seq") if "_seq" in df.columns and "_seq" not in order else df
     if part:
         return df.withColumn("_seq", (F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1).cast("long"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id()).persist()
+    from rillstone.sources.context import checkpointed
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64(*df.columns))
+    ranged = checkpointed(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     block = F.shiftright("_mid", 33)
     ahead = ranged.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     ahead = ahead.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n") - F.col("_first")).alias("_shift"))  # one row for each partition

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,94 @@ def remove_col(cells: DataFrame, c: int) -> DataFrame:
     return cells.filter(F.col("j") != c).withColumn("j", F.when(F.col("j") > c, F.col("j") - 1).otherwise(F.col("j")))
 
 
+def insert_row(cells: DataFrame, r: int) -> DataFrame:
+    """An empty row ahead of row r."""
+    return cells.withColumn("i", F.when(F.col("i") >= r, F.col("i") + 1).otherwise(F.col("i")))
+
+
+def insert_col(cells: DataFrame, c: int) -> DataFrame:
+    return cells.withColumn("j", F.when(F.col("j") >= c, F.col("j") + 1).otherwise(F.col("j")))
+
+
+def resize(cells: DataFrame, rows: int, cols: int) -> DataFrame:
+    return cells.filter((F.col("i") < rows) & (F.col("j") < cols))
+
+
+def get_cell(cells: DataFrame, i: int, j: int) -> float:
+    """0 for a cell that is not there."""
+    row = cells.filter((F.col("i") == i) & (F.col("j") == j)).select("v").head()
+    return row.v if row else 0.0
+
+
+def remove_cell(cells: DataFrame, i: int, j: int) -> DataFrame:
+    return cells.filter(~((F.col("i") == i) & (F.col("j") == j)))
+
+
+def set_cell(cells: DataFrame, i: int, j: int, v: float) -> DataFrame:
+    new = cells.sparkSession.range(1).select(*[F.lit({"i": i, "j": j, "v": v}[f.name]).cast(f.dataType).alias(f.name) for f in cells.select("i", "j", "v").schema.fields])
+    return remove_cell(cells, i, j).select("i", "j", "v").unionByName(new)
+
+
+def non_zeros(cells: DataFrame) -> int:
+    return cells.filter("v <> 0").count()
+
+
+def equal(a: DataFrame, b: DataFrame, tolerance: float = 1e-12) -> bool:
+    """Cells that are not there are 0."""
+    both = a.select("i", "j", "v").join(b.select("i", "j", F.col("v").alias("w")), ["i", "j"], "full")
+    return both.filter(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))) > tolerance).isEmpty()
+
+
+@dataclass(frozen=True)
+class Graph:
+    """A square matrix read as edges (src, dst, w) between vertices 0 to n - 1."""
+
+    edges: DataFrame
+    n: int
+
+    def vertices(self) -> DataFrame:
+        return self.edges.sparkSession.range(self.n).withColumnRenamed("id", "node")
+
+    def num_vertices(self) -> int:
+        return self.n
+
+    def num_edges(self) -> int:
+        return self.edges.count()
+
+    def out_edges(self, v: int) -> DataFrame:
+        return self.edges.filter(F.col("src") == v)
+
+    def in_edges(self, v: int) -> DataFrame:
+        return self.edges.filter(F.col("dst") == v)
+
+    def adjacent(self, v: int) -> DataFrame:
+        return self.out_edges(v).select(F.col("dst").alias("node")).distinct()
+
+    def out_degree(self) -> DataFrame:
+        return self.edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))
+
+    def in_degree(self) -> DataFrame:
+        return self.edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
+
+    def add_edge(self, a: int, b: int, w: float = 0.0) -> Graph:
+        return self.add_edges(self.edges.sparkSession.createDataFrame([(a, b, float(w))], "src long, dst long, w double"))
+
+    def add_edges(self, new: DataFrame) -> Graph:
+        """An edge there was gets the new weight."""
+        old = self.edges.join(new.select("src", "dst"), ["src", "dst"], "left_anti")
+        return Graph(old.select("src", "dst", "w").unionByName(new.select("src", "dst", "w")), self.n)
+
+    def remove_edge(self, a: int, b: int) -> Graph:
+        """In both directions."""
+        return self.remove_edges_if(((F.col("src") == a) & (F.col("dst") == b)) | ((F.col("src") == b) & (F.col("dst") == a)))
+
+    def remove_edges_if(self, predicate: Column) -> Graph:
+        return Graph(self.edges.filter(~F.coalesce(predicate, F.lit(False))), self.n)
+
+    def clear_vertex(self, v: int) -> Graph:
+        return self.remove_edges_if((F.col("src") == v) | (F.col("dst") == v))
+
+
 def image_filter(cells: DataFrame, kind: str = "mean", radius: int = 1) -> DataFrame:
     """Each cell from its neighbourhood: mean, median, gauss or laplace. A cell is sent to its neighbours, then one shuffle gathers them."""
     d = F.sequence(F.lit(-radius), F.lit(radius))
@@ -46,12 +136,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def shortest_paths(edges: DataFrame, source: int, rounds: int = 64) -> DataFrame:
-    """node, dist from source: relaxation by joins until nothing changes; each round is cut by a checkpoint."""
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
+    """node, dist from source: relaxation by joins until nothing changes, however long a path; each round is cut by a checkpoint. Weights are not negative."""
     spark = edges.sparkSession
     dist = spark.createDataFrame([(source, 0.0)], "node long, dist double")
     best = None
-    for _ in range(rounds):
+    while True:
         step = dist.join(edges, F.col("node") == F.col("src")).select(F.col("dst").cast("long").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
         dist = _cut(dist.unionByName(step).groupBy("node").agg(F.min("dist").alias("dist")))
         state = dist.agg(F.count(F.lit(1)), F.sum("dist")).first()
@@ -61,12 +151,12 @@ def shortest_paths(edges: DataFrame, source: int, rounds: int = 64) -> DataFrame
     return dist
 
 
-def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def spanning_tree(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest by Boruvka rounds: each component takes its least edge, then components are joined by pointer jumping."""
     e = _cut(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")))
     label = _cut(e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct().withColumn("c", F.col("node")))
     tree = None
-    for _ in range(rounds):
+    while True:
         la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         out = _cut(e.join(la, "a").join(lb, "b").filter("ca <> cb"))
         if out.isEmpty():
