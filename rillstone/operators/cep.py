@@ -108,7 +108,7 @@ class Pattern:
     def step(self, run: Run, event: dict) -> str:
         """What the event does to the run: 'on', 'done', 'skip', 'dead', or 'over' (it ended before the event)."""
         steps = self.branches[run.branch]
-        if run.events and self.late(run, event, None):
+        if self.limits and run.events and self.late(run, event, None):
             return "over" if self.could_end(run) else "dead"
         at, loops = run.at, run.loops
         while at < len(steps):
@@ -123,7 +123,7 @@ class Pattern:
                 at, loops = at + 1, 0
                 continue
             if test(event, run):
-                if self.late(run, event, at):
+                if self.limits and self.late(run, event, at):
                     return "skip"
                 loops += 1
                 run.events.append(event)
@@ -181,7 +181,7 @@ def run_matches(rows: list[dict], p: Pattern | Nfa, strategy: str = "first", ope
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy is called {strategy}")
-    out, live = [], list(open_runs or [])
+    out, live, fresh = [], list(open_runs or []), p.begin()
     for event in rows:
         kept, used = [], False
         for group in live:
@@ -205,12 +205,14 @@ def run_matches(rows: list[dict], p: Pattern | Nfa, strategy: str = "first", ope
         live = kept
         if strategy != "first" or (not live and not used):
             group, ended = [], None
-            for r in p.begin():
+            for r in fresh:
                 said = p.step(r, event)
                 if said == "done":
                     ended = r.events if ended is None else ended
                 elif said == "on":
                     group.append(r)
+            if ended is not None or group:  # what skipped the event is as it was
+                fresh = p.begin()
             if ended is not None:
                 out.append(ended)
             elif group:
@@ -230,10 +232,13 @@ def match(df: DataFrame, p: Pattern | Nfa, by: list[str], strategy: str = "first
     names = df.columns
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        events = pdf.sort_values("_seq")[names].to_dict("records")
-        found = run_matches(events, p, strategy)
-        flat = [(i, j, e) for i, m in enumerate(found) for j, e in enumerate(m)]
-        return pd.DataFrame({**{n: pd.Series([e[n] for _, _, e in flat], dtype=pdf[n].dtype) for n in names}, "_match": [i for i, _, _ in flat], "_pos": [j for _, j, _ in flat]})
+        pdf = pdf.sort_values("_seq")[names]
+        columns = [pdf[n].tolist() for n in names]
+        events = [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)]
+        place = {id(e): i for i, e in enumerate(events)}
+        flat = [(place[id(e)], i, j) for i, m in enumerate(run_matches(events, p, strategy)) for j, e in enumerate(m)]
+        out = pdf.iloc[[x for x, _, _ in flat]]
+        return out.assign(_match=[i for _, i, _ in flat], _pos=[j for _, _, j in flat])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _match long, _pos long"
     out = rows.groupBy(*(by or ["_all"])).applyInPandas(find, ddl)
