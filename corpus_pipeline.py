@@ -1,6 +1,10 @@
 """The corpus pipeline: toxicity, line dedup, MinHash near-dedup, mixing, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), is given what its predecessor kept and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results, for all stages: a null or empty text is kept by toxicity, line dedup and near-dedup, takes no words of the mix and so is not of it; repeated rows are documents each for itself, of which
+near-dedup keeps the first; null ids and sources are kept, a null source is a source of its own; texts of any length go through whole; ties are broken by doc_id or by the order of rows; an empty table gives no rows;
+further columns pass through to the packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of at most 4,096 tokens: doc_id, piece, start, length, checksum, sequence and place in it. A document of several epochs has the pieces of each."""
     return packing.pack_documents(docs)
 
 
@@ -49,7 +54,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Compression lengths, sketches and tokens are beyond SQL; tests hold the stages against brute force.
+#: Compression lengths, sketches and tokens are beyond SQL; tests hold each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
