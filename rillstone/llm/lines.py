@@ -6,7 +6,10 @@ two equal windows select the same. Fingerprints selected at least twice in the c
 windows are compared, each with the first of its kind in the order (doc_id, text hash, line). A seed that repeats an earlier window is extended both
 ways, as long as the next window repeats an earlier one too; the lines of these runs are deleted where they come later.
 
-So a line is deleted exactly if some window over it is equal to an earlier window, in this or another document. Keys of documents and windows have 128 bits.
+A line of ALONE words or more that is shorter than such a window is a window by itself too, which counts if it stands at OFTEN places of the corpus or more:
+a notice between paragraphs that differ. A line that only a few documents share is left to the windows, as it is mostly prose of near copies.
+
+So a line is deleted exactly if some window over it is equal to an earlier window that counts, in this or another document. Keys of documents and windows have 128 bits.
 A very common window or fingerprint is no task's own: the few keys with many rows are broadcast, the others shuffled.
 
 Defined results: a null text stays null; lines are compared without blanks at their ends, blank lines are kept and never counted; rows with the same doc_id and text are one
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, join_counted, own_name, table
 
 LINES, WORDS = 3, 50
+ALONE, OFTEN = 5, 10
 
 
 def _key(doc_id="doc_id", text="text") -> Column:
@@ -35,8 +39,8 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), F.regexp_count(s["x"], F.lit(WORD)).alias("w"))).alias("l"))
 
 
-def _windows(lines: int, words: int) -> Column:
-    """Of the array l: start p (in l), length n, fingerprint f, its place, and 128 bits of the whole, for every start where a whole window fits."""
+def _windows(lines: int, words: int, alone: int, often: int) -> Column:
+    """Of the array l: start p (in l), length n, least number of places that counts, fingerprint f, its place, and 128 bits of the whole, for every start where a whole window fits and for lines that are windows by themselves."""
     at = lambda p, j, name: F.get("l", p + j)[name]
 
     def window(p: Column) -> Column:
@@ -47,27 +51,35 @@ def _windows(lines: int, words: int) -> Column:
             sums.append(total)
         for j in reversed(range(lines - 1)):
             n = F.when(sums[j] >= words, F.lit(j + 1)).otherwise(n)
-        return F.struct(p.alias("p"), n.alias("n"))
+        return F.struct(p.alias("p"), n.alias("n"), F.lit(2).alias("need"))
+
+    def lone(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.lit(1).alias("n"), F.lit(often).alias("need"))
 
     def marked(s: Column) -> Column:
         own = F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j")))
         least = F.array_min(own)
         body = lambda name: F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x: x[name])
-        return F.struct(s["p"].alias("p"), s["n"].alias("n"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"), F.xxhash64(body("h")).alias("w1"), F.xxhash64(body("g")).alias("w2"))
+        return F.struct(s["p"].alias("p"), s["n"].alias("n"), s["need"].alias("need"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"), F.xxhash64(body("h")).alias("w1"), F.xxhash64(body("g")).alias("w2"))
 
-    starts = F.transform(F.sequence(F.lit(0), F.size("l")), window)
-    return F.transform(F.filter(starts, lambda s: (s["p"] + s["n"] <= F.size("l"))), marked)
+    places = F.sequence(F.lit(0), F.size("l"))
+    starts = F.filter(F.transform(places, window), lambda s: s["p"] + s["n"] <= F.size("l"))
+    if lines > 1:
+        starts = F.concat(starts, F.transform(F.filter(places, lambda p: at(p, 0, "w").between(alone, words - 1)), lone))
+    return F.transform(starts, marked)
 
 
-def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, alone: int = ALONE, often: int = OFTEN) -> DataFrame:
     """k (document key), places (of the lines of its text to delete, from 0)."""
-    hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words)).filter(F.size("win") > 0).dropDuplicates(["k"]))
+    hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words, alone, often)).filter(F.size("win") > 0).dropDuplicates(["k"]))
     windows = hashed.select("doc_id", "k", F.explode("win").alias("s")).select("doc_id", "k", "s.*")
     positions = hashed.select(F.explode(F.array_distinct(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))))).alias("s")).select("s.f")
     shared = cut(positions.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     n = hashed.agg(F.coalesce(F.sum(F.size("win")), F.lit(0))).first()[0]
-    found = cut(join_counted(windows, shared, ["f"], n).select("doc_id", "k", "p", "n", "w1", "w2"))
-    first = cut(found.groupBy("w1", "w2", "n").agg(F.min(F.struct("doc_id", "k", "p")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    # A line by itself always selects its own place, so c is at least the number of places it stands at.
+    found = cut(join_counted(windows, shared, ["f"], n).filter("c >= need").select("doc_id", "k", "p", "n", "need", "w1", "w2"))
+    counted = found.groupBy("w1", "w2", "n").agg(F.min(F.struct("doc_id", "k", "p")).alias("first"), F.count(F.lit(1)).alias("c"), F.max("need").alias("least"))
+    first = cut(counted.filter("c >= least").drop("least"))
     later = join_counted(found, first, ["w1", "w2", "n"], found.count()).filter(~F.struct("doc_id", "k", "p").eqNullSafe(F.col("first")))
     # Windows next to each other make runs; a run's lines are deleted.
     cover = later.groupBy("k").agg(F.collect_set(F.struct("p", "n")).alias("c"))
@@ -75,10 +87,10 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> D
     return runs.select("k", F.array_distinct(F.flatten(F.transform("c", lambda s: F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x: x["i"])))).alias("places"))
 
 
-def drop_repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, counts: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, counts: bool = False, alone: int = ALONE, often: int = OFTEN) -> DataFrame:
     """docs with the lines deleted from text; with counts, n_lines and n_removed come behind."""
     k, places = own_name(docs, "k"), own_name(docs, "places")
-    gone = repeated_lines(docs, lines, words).select(F.col("k").alias(k), F.col("places").alias(places))
+    gone = repeated_lines(docs, lines, words, alone, often).select(F.col("k").alias(k), F.col("places").alias(places))
     rows = docs.withColumn(k, _key(F.col("doc_id").cast("long"), F.col("text"))).join(gone, k, "left")
 
     def kept(x: Column) -> Column:
@@ -108,10 +120,11 @@ win AS (
   SELECT doc_id, p, CASE WHEN w >= 50 THEN 1 WHEN w + w1 >= 50 THEN 2 ELSE 3 END AS n, x, x1, x2, c FROM g),
 keyed AS (
   SELECT doc_id, p, n, CASE n WHEN 1 THEN x WHEN 2 THEN x || chr(10) || x1 ELSE x || chr(10) || x1 || chr(10) || x2 END AS body
-  FROM win WHERE p + n - 1 <= c),
+  FROM win WHERE p + n - 1 <= c
+  UNION ALL SELECT doc_id, p, 0, x FROM l WHERE w BETWEEN 5 AND 49),
 again AS (
-  SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, body ORDER BY doc_id, p) AS r FROM keyed),
-gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM again WHERE r > 1),
+  SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, body ORDER BY doc_id, p) AS r, count(*) OVER (PARTITION BY n, body) AS places FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + greatest(n, 1))) AS p FROM again WHERE r > 1 AND (n > 0 OR places >= 10)),
 gi AS (SELECT l.doc_id, l.i FROM gone JOIN l ON gone.doc_id = l.doc_id AND gone.p = l.p),
 kept AS (
   SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.i) AS text, count(*) AS n

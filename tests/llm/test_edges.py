@@ -308,6 +308,17 @@ def test_many_copies_of_a_row(spark):
     assert cleaned.filter("text = concat('own ', id)").count() == 4_999
 
 
+def test_lines_by_themselves(spark):
+    """A line of five words goes from ten places on, all but the first; nine places, four words and rows that copy a document do not make it recur."""
+    notice, rare, short = "all rights of this text reserved", "this line stands at nine places", "read more about it"
+    text = lambda i: f"own words of {i} here\n{notice}\nmore words of {i} there\n{rare if i < 9 else 'other'}\nlast words of {i} now\n{short}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(10)] + [(0, text(0))] * 5, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.drop_repeated_lines(docs).collect()}
+    assert got == {i: text(i).replace(notice + "\n", "") if i else text(0) for i in range(10)}
+    few = docs.filter("doc_id < 9")
+    assert {r.doc_id: r.text for r in lines.drop_repeated_lines(few).collect()} == {i: text(i) for i in range(9)}
+
+
 def test_pipeline_stages_against_brute_force(spark):
     """The stages in a row on a small corpus, each held against a plain computation on its own input."""
     import corpus_pipeline as cp
@@ -324,11 +335,13 @@ def test_pipeline_stages_against_brute_force(spark):
         own.weights = scorer.weights
     kept = {r.doc_id: r.text for r in one.collect()}
     assert kept == {i: t for i, t in texts.items() if own is None or own.score(t) < toxicity.CUT}
-    # Line dedup: windows of three lines, or fewer that hold fifty words, seen earlier.
-    seen, gone = set(), {i: set() for i in kept}
+    # Line dedup: windows of three lines, or fewer that hold fifty words, seen earlier, and lines of five words or more at ten places.
+    seen, gone, stands = set(), {i: set() for i in kept}, {}
     for i in sorted(kept):
         ls = [(n, x.strip(" ")) for n, x in enumerate((kept[i] or "").split("\n")) if x.strip(" ")]
         for p in range(len(ls)):
+            if 5 <= len(ls[p][1].split()) < 50:
+                stands.setdefault(ls[p][1], []).append((i, ls[p][0]))
             n, total = 3, 0
             for j in range(3):
                 total += len(ls[p + j][1].split()) if p + j < len(ls) else 0
@@ -340,6 +353,9 @@ def test_pipeline_stages_against_brute_force(spark):
                 if key in seen:
                     gone[i].update(m for m, _ in ls[p : p + n])
                 seen.add(key)
+    for places in stands.values():
+        for i, m in places[1:] if len(places) >= 10 else []:
+            gone[i].add(m)
     two = cp.dedup_lines(spark, one, d)
     cleaned = {r.doc_id: r.text for r in two.collect()}
     assert two.columns == columns
