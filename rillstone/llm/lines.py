@@ -39,43 +39,49 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), F.regexp_count(s["x"], F.lit(WORD)).alias("w"))).alias("l"))
 
 
-def _windows(lines: int, words: int, alone: int, often: int) -> Column:
-    """Of the array l: start p (in l), length n, least number of places that counts, fingerprint f, its place, and 128 bits of the whole, for every start where a whole window fits and for lines that are windows by themselves."""
-    at = lambda p, j, name: F.get("l", p + j)[name]
+def _at(p: Column, name: str) -> Column:
+    return F.get("l", p)[name]
+
+
+def _windows(lines: int, words: int) -> Column:
+    """Of the array l: start p (in l), length n, least number of places that counts, fingerprint f, its place, and 128 bits of the whole, for every start where a whole window fits."""
 
     def window(p: Column) -> Column:
         n, total = F.lit(lines), F.lit(0)
         sums = []
         for j in range(lines):
-            total = total + F.coalesce(at(p, j, "w"), F.lit(0))
+            total = total + F.coalesce(_at(p + j, "w"), F.lit(0))
             sums.append(total)
         for j in reversed(range(lines - 1)):
             n = F.when(sums[j] >= words, F.lit(j + 1)).otherwise(n)
-        return F.struct(p.alias("p"), n.alias("n"), F.lit(2).alias("need"))
-
-    def lone(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.lit(1).alias("n"), F.lit(often).alias("need"))
+        return F.struct(p.alias("p"), n.alias("n"))
 
     def marked(s: Column) -> Column:
         own = F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j")))
         least = F.array_min(own)
         body = lambda name: F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x: x[name])
-        return F.struct(s["p"].alias("p"), s["n"].alias("n"), s["need"].alias("need"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"), F.xxhash64(body("h")).alias("w1"), F.xxhash64(body("g")).alias("w2"))
+        return F.struct(s["p"].alias("p"), s["n"].alias("n"), F.lit(2).alias("need"), least["h"].alias("f"), (s["p"] - least["j"]).alias("at"), F.xxhash64(body("h")).alias("w1"), F.xxhash64(body("g")).alias("w2"))
+
+    starts = F.transform(F.sequence(F.lit(0), F.size("l")), window)
+    return F.transform(F.filter(starts, lambda s: s["p"] + s["n"] <= F.size("l")), marked)
+
 
-    places = F.sequence(F.lit(0), F.size("l"))
-    starts = F.filter(F.transform(places, window), lambda s: s["p"] + s["n"] <= F.size("l"))
-    if lines > 1:
-        starts = F.concat(starts, F.transform(F.filter(places, lambda p: at(p, 0, "w").between(alone, words - 1)), lone))
-    return F.transform(starts, marked)
+def _lone(lines: int, words: int, alone: int, often: int) -> tuple[Column, Column]:
+    """Of the lines of l that are windows by themselves: fingerprints with their places, and windows as those of _windows."""
+    places = F.filter(F.sequence(F.lit(0), F.size("l")), lambda p: _at(p, "w").between(alone, words - 1) if lines > 1 else F.lit(False))
+    marks = F.transform(places, lambda p: F.struct(_at(p, "h").alias("f"), p.alias("at")))
+    whole = lambda p: F.struct(p.alias("p"), F.lit(1).alias("n"), F.lit(often).alias("need"), _at(p, "h").alias("f"), p.alias("at"), _at(p, "h").alias("w1"), _at(p, "g").alias("w2"))
+    return marks, F.transform(places, whole)
 
 
 def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, alone: int = ALONE, often: int = OFTEN) -> DataFrame:
     """k (document key), places (of the lines of its text to delete, from 0)."""
-    hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words, alone, often)).filter(F.size("win") > 0).dropDuplicates(["k"]))
-    windows = hashed.select("doc_id", "k", F.explode("win").alias("s")).select("doc_id", "k", "s.*")
-    positions = hashed.select(F.explode(F.array_distinct(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))))).alias("s")).select("s.f")
+    hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words)).filter(F.size("l") > 0).dropDuplicates(["k"]))
+    marks, whole = _lone(lines, words, alone, often)
+    windows = hashed.select("doc_id", "k", F.explode(F.concat("win", whole)).alias("s")).select("doc_id", "k", "s.*")
+    positions = hashed.select(F.explode(F.array_distinct(F.concat(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))), marks))).alias("s")).select("s.f")
     shared = cut(positions.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    n = hashed.agg(F.coalesce(F.sum(F.size("win")), F.lit(0))).first()[0]
+    n = hashed.agg(F.coalesce(F.sum(F.size("win") + F.size(marks)), F.lit(0))).first()[0]
     # A line by itself always selects its own place, so c is at least the number of places it stands at.
     found = cut(join_counted(windows, shared, ["f"], n).filter("c >= need").select("doc_id", "k", "p", "n", "need", "w1", "w2"))
     counted = found.groupBy("w1", "w2", "n").agg(F.min(F.struct("doc_id", "k", "p")).alias("first"), F.count(F.lit(1)).alias("c"), F.max("need").alias("least"))
@@ -83,8 +89,8 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, alon
     later = join_counted(found, first, ["w1", "w2", "n"], found.count()).filter(~F.struct("doc_id", "k", "p").eqNullSafe(F.col("first")))
     # Windows next to each other make runs; a run's lines are deleted.
     cover = later.groupBy("k").agg(F.collect_set(F.struct("p", "n")).alias("c"))
-    runs = hashed.select("k", "l").join(cover, "k")
-    return runs.select("k", F.array_distinct(F.flatten(F.transform("c", lambda s: F.transform(F.slice("l", s["p"] + 1, s["n"]), lambda x: x["i"])))).alias("places"))
+    runs = hashed.select("k", F.transform("l", lambda x: x["i"]).alias("at")).join(cover, "k")
+    return runs.select("k", F.array_distinct(F.flatten(F.transform("c", lambda s: F.slice("at", s["p"] + 1, s["n"])))).alias("places"))
 
 
 def drop_repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, counts: bool = False, alone: int = ALONE, often: int = OFTEN) -> DataFrame:
