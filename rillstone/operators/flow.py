@@ -136,13 +136,21 @@ class Flow:
         text = F.try_validate_utf8(F.col(column).cast("string"))
         return self._with(self.df.select(F.from_json(text, schema, BYTES).alias("_row"), *rest).select("_row.*", *rest))
 
-    def tuplify(self, predicates: list[str], mode: str = "punctuated", s: str = "s", p: str = "p", o: str = "o") -> Flow:
+    def tuplify(self, predicates: list[str], mode: str = "punctuated", s: str = "s", p: str = "p", o: str = "o", seconds: float | None = None) -> Flow:
         """Triples to wide rows; of repeated predicates the last object counts, unknown ones are dropped.
 
-        punctuated: one row for each subject; completed: only subjects with all predicates; ordered: one for each run of a subject.
+        punctuated: one row for each subject; completed: only subjects with all predicates; ordered: one for each run of a subject;
+        window: a subject's row takes its triples of less than so many seconds from the row's first triple on, the next triple begins another.
         """
         by = [s]
         df = self.df
+        if mode == "window":
+            if self.ts is None or seconds is None:
+                raise ValueError("tuplify by windows needs timestamps and seconds")
+            # Subjects are independent: each is a partition of its own while its windows are found.
+            df = self.df.withColumn("_own", F.to_json(F.struct(*self._parts(), s)))
+            df = replace(self, df=df, part="_own").tumbling_window("range", seconds)._tumbled([]).withColumnRenamed("_win", "_run")
+            by = [s, "_run"]
         if mode == "ordered":
             w = Window.partitionBy(*self._parts()).orderBy("_seq")
             df = df.withColumn("_new", (~F.col(s).eqNullSafe(F.lag(s).over(w))).cast("int")).withColumn("_run", F.sum("_new").over(w))
@@ -367,6 +375,38 @@ class Flow:
         both = F.when(F.col("_gone").isNull(), F.array(live)).otherwise(F.array(live, dead))
         return replace(self, df=df.drop("_us", "_win", "_pos").select("*", F.inline(both)), window=None, dense=False)
 
+    def aggregate_changes(self, *aggs: Agg) -> Flow:
+        """Behind changelog(): the aggregates after every change, those of the key where there is one; what goes at an arrival goes before it comes.
+
+        For sums, counts and averages, which can be taken back; an average of nothing is null. Columns _at and _outdated stay.
+        """
+        if not {"_at", "_outdated"} <= set(self.df.columns):
+            raise ValueError("aggregate_changes needs changelog() ahead")
+        wrong = [a.kind for a in aggs if a.kind not in ("sum", "count", "avg", "int_avg")]
+        if wrong:
+            raise ValueError(f"cannot be taken back: {', '.join(wrong)}")
+        sign = F.when(F.col("_outdated"), -1).otherwise(1)
+        signed, sums, out = {"_rank": (~F.col("_outdated")).cast("int"), "_s": sign}, [Agg("sum", "_s", "_n")], []
+        for i, a in enumerate(aggs):
+            if a.kind != "count":
+                signed |= {f"_x{i}": F.coalesce(F.col(a.column), F.lit(0)) * sign, f"_v{i}": F.when(F.col(a.column).isNotNull(), sign).otherwise(0)}
+                sums += [Agg("sum", f"_x{i}", f"_t{i}"), Agg("sum", f"_v{i}", f"_c{i}")]
+            total, n = F.col(f"_t{i}"), F.col(f"_c{i}")
+            match a.kind:
+                case "count":
+                    out.append(F.col("_n").alias(a.name))
+                case "sum":
+                    out.append(F.when(n > 0, total).alias(a.name))
+                case "avg":
+                    out.append(F.when(n > 0, total / n).alias(a.name))
+                case _:
+                    out.append(F.when(F.col("_n") > 0, total / F.col("_n")).cast("long").alias(a.name))
+        keep = [c for c in self.df.columns if c not in {a.name for a in aggs} | {"_seq"}]
+        df = self.df.withColumns(signed).withColumn("_first", F.col("_seq"))
+        flow = replace(self, df=dense_order(df.drop("_seq"), ["_at", "_rank", "_first"], self.part), dense=True)
+        flow = flow.group_by(*sums) if self.key else flow.aggregate(*sums)
+        return replace(flow, df=flow.df.select(*keep, "_seq", *out))
+
     def stateful_map(self, f: Callable, initial: Callable[[], object], schema: str) -> Flow:
         """f(row, state) -> (new row or None, state), in arrival order, one state for each partition (and key, if there is one)."""
         by = [*self._parts(), *([self.key] if self.key else [])]

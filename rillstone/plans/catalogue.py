@@ -144,6 +144,25 @@ def changelog_sliding_row(spark, d):
     return f.df.select(F.col("_seq").alias("seq"), "value", F.col("_at").alias("at"), F.col("_outdated").alias("outdated"))
 
 
+CHANGES = ", g AS (SELECT seq, event_id, event_type, value, lead(seq, 50) OVER (ORDER BY seq) AS gone FROM e), c AS (SELECT seq, event_id, event_type, value, seq AS at, 1 AS sg FROM g UNION ALL SELECT seq, event_id, event_type, value, gone, -1 FROM g WHERE gone IS NOT NULL) "
+AFTER = "SELECT c.at, sg < 0 AS outdated, CAST(sum(sg) OVER w AS BIGINT) AS n, CASE WHEN sum(sg) OVER w > 0 THEN round(sum(sg * value) OVER w, 3) END AS s, CASE WHEN sum(sg) OVER w > 0 THEN CAST(sum(sg * event_id) OVER w // sum(sg) OVER w AS BIGINT) END AS a FROM c WINDOW w AS "
+
+
+def _after(f: Flow) -> DataFrame:
+    return f.aggregate_changes(A.count(name="n"), A.sum_("value", "s"), A.int_avg("event_id", "a")).df.select(F.col("_at").alias("at"), F.col("_outdated").alias("outdated"), F.col("n").cast("long"), F.round("s", 3).alias("s"), "a")
+
+
+@query(ORDERED + CHANGES + AFTER + "(PARTITION BY event_type ORDER BY c.at, sg, seq ROWS UNBOUNDED PRECEDING)")
+def changelog_group_aggregates(spark, d):
+    """A group's aggregates after each row that comes into the window of all groups, or goes."""
+    return _after(_events(spark, d, "value", "event_type").key_by("event_type").sliding_window("row", 50).changelog())
+
+
+@query(ORDERED + CHANGES + AFTER + "(ORDER BY c.at, sg, seq ROWS UNBOUNDED PRECEDING)")
+def changelog_aggregates(spark, d):
+    return _after(_events(spark, d, "value").sliding_window("row", 50).changelog())
+
+
 @query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20")
 def join_theta_orders_customer(spark, d):
     left = Flow(_read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), key="o_custkey")
@@ -295,6 +314,16 @@ def tuplify_events(spark, d):
     return Flow(t).tuplify(["type", "user"]).df.select("s", "type", "user")
 
 
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
+t AS (SELECT *, ts AS opened, 0 AS win FROM e WHERE r = 1
+  UNION ALL SELECT e.*, CASE WHEN t.opened <= e.ts - INTERVAL 1 DAY THEN e.ts ELSE t.opened END, CASE WHEN t.opened <= e.ts - INTERVAL 1 DAY THEN t.win + 1 ELSE t.win END FROM t JOIN e ON e.user_id = t.user_id AND e.event_type = t.event_type AND e.r = t.r + 1)
+SELECT user_id, event_type, arg_max(value, r) FILTER (WHERE event_id % 2 = 0) AS even, arg_max(value, r) FILTER (WHERE event_id % 2 = 1) AS odd FROM t GROUP BY user_id, event_type, win""")
+def tuplify_by_windows(spark, d):
+    """Within a user's stream, a kind of event is a subject; its row takes a day from its first event on."""
+    f = _by_user(spark, d, "event_type", "value").map("user_id", "event_type", "ts", "value", "if(event_id % 2 = 0, 'even', 'odd') AS p")
+    return f.tuplify(["even", "odd"], "window", "event_type", "p", "value", seconds=86400).df.select("user_id", "event_type", "even", "odd")
+
+
 @query(ORDERED + "SELECT seq, event_id, value FROM e WHERE seq < (SELECT count(*) // 10 * 10 FROM e)")
 def batch_unbatch_roundtrip(spark, d):
     return _events(spark, d, "value").batch(10).unbatch().df.select(F.col("_seq").alias("seq"), "event_id", "value")

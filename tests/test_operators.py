@@ -182,3 +182,20 @@ def test_linear_road_reports(spark, tmp_path):
     cars = [(v, t, t // 60 + 1, 3, 100 if t < 120 or v < 3 else 200) for v in (1, 2, 3) for t in range(0, 210, 30)]
     df = spark.createDataFrame(cars, "vid int, time int, m int, seg int, pos int")
     assert {(r.seg, r.m) for r in usecases.accidents(df).collect()} == {(3, 2), (3, 3), (3, 4)}
+
+
+def test_aggregates_of_changes(spark):
+    flow = Flow.of(spark.createDataFrame([(0, "a", 2.0), (1, "a", None), (2, "a", 4.0), (3, "b", 6.0)], "_seq long, k string, v double")).sliding_window("row", 2).changelog()
+    out = flow.key_by("k").aggregate_changes(A.count(name="n"), A.sum_("v", "s"), A.avg("v", "m")).df.orderBy("_seq").collect()
+    assert [(r._at, r._outdated, r.n, r.s, r.m) for r in out] == [(0, False, 1, 2.0, 2.0), (1, False, 2, 2.0, 2.0), (2, True, 1, None, None), (2, False, 2, 4.0, 4.0), (3, True, 1, 4.0, 4.0), (3, False, 1, 6.0, 6.0)]
+    with pytest.raises(ValueError, match="min"):
+        flow.aggregate_changes(A.min_("v", "m"))
+    with pytest.raises(ValueError, match="changelog"):
+        Flow.of(spark.range(1).withColumnRenamed("id", "_seq")).aggregate_changes(A.count(name="n"))
+
+
+def test_tuplify_by_windows(spark):
+    rows = [(i, t, s, p, o) for i, (t, s, p, o) in enumerate([(0, "x", "p", "1"), (5, "y", "p", "2"), (9, "x", "q", "3"), (10, "x", "p", "4"), (11, None, "q", "5"), (30, "x", "r", "6")])]
+    df = spark.createDataFrame(rows, "_seq long, t long, s string, p string, o string").selectExpr("_seq", "timestamp_seconds(t) AS ts", "s", "p", "o")
+    out = Flow.of(df, ts="ts").tuplify(["p", "q"], "window", seconds=10).df.collect()
+    assert {(r.s, r.p, r.q) for r in out} == {("x", "1", "3"), ("x", "4", None), ("y", "2", None), (None, None, "5")}
