@@ -9,6 +9,9 @@ ways, as long as the next window repeats an earlier one too; the lines of these
 A line of ALONE words or more that is shorter than such a window is a window by itself too, which counts if it stands at OFTEN places of the corpus or more:
 a notice between paragraphs that differ. A line that only a few documents share is left to the windows, as it is mostly prose of near copies.
 
+Of a line of more than WORDS words the first and the last WORDS words are windows too, which count at two places, as heads or as tails: a passage set before or behind a paragraph's own
+words. Where they come later these words go and the rest of the line stays (an empty line, if nothing is left).
+
 So a line is deleted exactly if some window over it is equal to an earlier window that counts, in this or another document. Keys of documents and windows have 128 bits.
 A very common window or fingerprint is no task's own: the few keys with many rows are broadcast, the others shuffled.
 
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, join_counted, own_name, table
 
 LINES, WORDS = 3, 50
+#: A word with the white space ahead of it.
+SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 ALONE, OFTEN = 5, 10
 
 
@@ -33,10 +38,17 @@ def _key(doc_id="doc_id", text="text") -> Column:
     return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), doc_id, text).alias("b"))
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
-    """One row per document: its key, and for its lines that are not blank place, two hashes and number of words."""
+def _hashes(docs: DataFrame, words: int) -> DataFrame:
+    """One row per document: its key, and for its lines that are not blank place, two hashes, number of words and, beyond so many words, hashes of the first and last of them."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), F.transform(lines, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), F.regexp_count(s["x"], F.lit(WORD)).alias("w"))).alias("l"))
+    split = F.transform(lines, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"), F.regexp_extract_all(s["x"], F.lit(WORD), F.lit(0)).alias("v")))
+
+    def ends(v: Column) -> Column:
+        both = F.array(F.slice(v, 1, words), F.slice(v, -words, words))
+        return F.when(F.size(v) > words, F.transform(both, lambda e: F.struct(F.xxhash64(e).alias("h"), F.xxhash64(F.lit(1), e).alias("g"))))
+
+    hashed = F.transform(split, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), F.size(s["v"]).alias("w"), ends(s["v"]).alias("e")))
+    return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), hashed.alias("l"))
 
 
 def _at(p: Column, name: str) -> Column:
@@ -74,9 +86,19 @@ def _lone(lines: int, words: int, alone: int, often: int) -> tuple[Column, Colum
     return marks, F.transform(places, whole)
 
 
+def _ends() -> Column:
+    """Heads and tails of the lines of l, as windows like those of _windows: length 0, start twice the line's place, and one more for a tail."""
+
+    def window(x: Column, p: Column) -> Column:
+        side = lambda e, j: F.struct((2 * p + j).alias("p"), F.lit(0).alias("n"), F.lit(2).alias("need"), e["h"].alias("f"), (2 * p + j).alias("at"), e["h"].alias("w1"), e["g"].alias("w2"))
+        return F.transform(x["e"], side)
+
+    return F.flatten(F.filter(F.transform("l", window), lambda x: x.isNotNull()))
+
+
 def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, alone: int = ALONE, often: int = OFTEN) -> DataFrame:
-    """k (document key), places (of the lines of its text to delete, from 0)."""
-    hashed = cut(cut(_hashes(docs)).withColumn("win", _windows(lines, words)).filter(F.size("l") > 0).dropDuplicates(["k"]))
+    """k (document key), places (of the lines of its text to delete, from 0), heads and tails (of the lines whose first or last words go)."""
+    hashed = cut(cut(_hashes(docs, words)).withColumn("win", F.concat(_windows(lines, words), _ends())).withColumn("l", F.transform("l", lambda x: x.dropFields("e"))).filter(F.size("l") > 0).dropDuplicates(["k"]))
     marks, whole = _lone(lines, words, alone, often)
     windows = hashed.select("doc_id", "k", F.explode(F.concat("win", whole)).alias("s")).select("doc_id", "k", "s.*")
     positions = hashed.select(F.explode(F.array_distinct(F.concat(F.transform("win", lambda s: F.struct(s["f"].alias("f"), s["at"].alias("at"))), marks))).alias("s")).select("s.f")
@@ -90,18 +112,25 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, alon
     # Windows next to each other make runs; a run's lines are deleted.
     cover = later.groupBy("k").agg(F.collect_set(F.struct("p", "n")).alias("c"))
     runs = hashed.select("k", F.transform("l", lambda x: x["i"]).alias("at")).join(cover, "k")
-    return runs.select("k", F.array_distinct(F.flatten(F.transform("c", lambda s: F.slice("at", s["p"] + 1, s["n"])))).alias("places"))
+    ends = lambda side: F.transform(F.filter("c", lambda s: (s["n"] == 0) & (s["p"] % 2 == side)), lambda s: F.get("at", F.shiftright(s["p"], 1)))
+    return runs.select("k", F.array_distinct(F.flatten(F.transform("c", lambda s: F.slice("at", s["p"] + 1, s["n"])))).alias("places"), ends(0).alias("heads"), ends(1).alias("tails"))
 
 
 def drop_repeated_lines(docs: DataFrame, lines: int = LINES, words: int = WORDS, counts: bool = False, alone: int = ALONE, often: int = OFTEN) -> DataFrame:
     """docs with the lines deleted from text; with counts, n_lines and n_removed come behind."""
-    k, places = own_name(docs, "k"), own_name(docs, "places")
-    gone = repeated_lines(docs, lines, words, alone, often).select(F.col("k").alias(k), F.col("places").alias(places))
+    k, places, heads, tails = (own_name(docs, c) for c in ("k", "places", "heads", "tails"))
+    gone = repeated_lines(docs, lines, words, alone, often).select(F.col("k").alias(k), F.col("places").alias(places), F.col("heads").alias(heads), F.col("tails").alias(tails))
     rows = docs.withColumn(k, _key(F.col("doc_id").cast("long"), F.col("text"))).join(gone, k, "left")
 
+    def rest(x: Column, i: Column) -> Column:
+        head, tail = F.array_contains(heads, i), F.array_contains(tails, i)
+        lo, hi = F.when(head, words).otherwise(0), F.when(tail, words).otherwise(0)
+        left = F.transform(F.array(F.regexp_extract_all(x, F.lit(SPACED), F.lit(0))), lambda v: F.array_join(F.slice(v, lo + 1, F.greatest(F.size(v) - lo - hi, F.lit(0))), ""))
+        return F.when(head | tail, F.regexp_replace(F.get(left, F.lit(0)), r"^[\x20\x09-\x0D]+", "")).otherwise(x)
+
     def kept(x: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(places))
-        return F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n")
+        return F.array_join(F.transform(left, lambda i: F.when(F.size(heads) + F.size(tails) > 0, rest(F.get(x, i), i)).otherwise(F.get(x, i))), "\n")
 
     # Bound by a transform, so that the text is split once.
     text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n")), kept), F.lit(0)))
@@ -127,14 +156,17 @@ win AS (
 keyed AS (
   SELECT doc_id, p, n, CASE n WHEN 1 THEN x WHEN 2 THEN x || chr(10) || x1 ELSE x || chr(10) || x1 || chr(10) || x2 END AS body
   FROM win WHERE p + n - 1 <= c
-  UNION ALL SELECT doc_id, p, 0, x FROM l WHERE w BETWEEN 5 AND 49),
+  UNION ALL SELECT doc_id, p, 0, x FROM l WHERE w BETWEEN 5 AND 49
+  UNION ALL SELECT doc_id, 2 * p + side, -1, array_to_string(CASE WHEN side = 0 THEN v[:50] ELSE v[-50:] END, ' ')
+    FROM (SELECT doc_id, p, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS v FROM l WHERE w > 50), (SELECT unnest([0, 1]) AS side)),
 again AS (
   SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, body ORDER BY doc_id, p) AS r, count(*) OVER (PARTITION BY n, body) AS places FROM keyed),
-gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + greatest(n, 1))) AS p FROM again WHERE r > 1 AND (n > 0 OR places >= 10)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + greatest(n, 1))) AS p FROM again WHERE r > 1 AND (n > 0 OR n = 0 AND places >= 10)),
+ends AS (SELECT l.doc_id, l.i, 50 * max((again.p % 2 = 0)::INT) AS lo, 50 * max((again.p % 2 = 1)::INT) AS hi FROM again JOIN l ON n = -1 AND r > 1 AND again.doc_id = l.doc_id AND again.p // 2 = l.p GROUP BY ALL),
 gi AS (SELECT l.doc_id, l.i FROM gone JOIN l ON gone.doc_id = l.doc_id AND gone.p = l.p),
 kept AS (
-  SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.i) AS text, count(*) AS n
-  FROM raw LEFT JOIN gi ON raw.doc_id = gi.doc_id AND raw.i = gi.i WHERE gi.i IS NULL GROUP BY raw.doc_id)
+  SELECT raw.doc_id, string_agg(CASE WHEN lo IS NULL THEN raw.line ELSE regexp_replace(array_to_string(t[lo + 1 : len(t) - hi], ''), '^[\x20\x09-\x0D]+', '') END, chr(10) ORDER BY raw.i) AS text, count(*) AS n
+  FROM (SELECT *, regexp_extract_all(line, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t FROM raw) raw LEFT JOIN gi ON raw.doc_id = gi.doc_id AND raw.i = gi.i LEFT JOIN ends ON raw.doc_id = ends.doc_id AND raw.i = ends.i WHERE gi.i IS NULL GROUP BY raw.doc_id)
 SELECT documents.doc_id, coalesce(len(d.ls), 0)::BIGINT AS n_lines, (coalesce(len(d.ls), 0) - coalesce(kept.n, 0))::BIGINT AS n_removed,
   CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id LEFT JOIN kept ON documents.doc_id = kept.doc_id

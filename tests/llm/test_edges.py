@@ -416,3 +416,17 @@ def test_pseudonyms_of_dates_names_and_accounts(spark):
         assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
     assert got[10].text == texts[10]
     assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(new.select("doc_id", "text"), "k", undo=True).collect()} == dict(enumerate(texts))
+
+
+def test_passages_at_the_ends_of_lines(spark):
+    """A passage of 60 words behind, ahead of and between other words of three lines: the fifty words at an end go where they come later."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, own("a", 9) + ". " + passage), (2, own("b", 70) + "\t " + passage + " "), (3, passage + " " + own("c", 3)), (4, passage + "; " + own("d", 4)), (5, own("e", 60)), (6, None), (7, " ".join(f"p{i}" for i in range(10, 60)))]
+    out = {r.doc_id: r for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert out[1].text == rows[0][1]
+    assert out[2].text == own("b", 70) + "\t " + " ".join(f"p{i}" for i in range(10))
+    assert out[3].text == rows[2][1]
+    assert out[4].text == " ".join(f"p{i}" for i in range(50, 59)) + " p59; " + own("d", 4)
+    assert [out[i].text for i in (5, 6, 7)] == [rows[i][1] for i in (4, 5, 6)]
+    assert all(r.n_removed == 0 for r in out.values())
