@@ -41,13 +41,18 @@ def _key(doc_id="doc_id", text="text") -> Column:
 def _hashes(docs: DataFrame, words: int) -> DataFrame:
     """One row per document: its key, and for its lines that are not blank place, two hashes, number of words and, beyond so many words, hashes of the first and last of them."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"))), lambda s: s["x"] != "")
-    split = F.transform(lines, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"), F.regexp_extract_all(s["x"], F.lit(WORD), F.lit(0)).alias("v")))
+    first = rf"^(?:{SPACED}){{{words}}}"
 
-    def ends(v: Column) -> Column:
-        both = F.array(F.slice(v, 1, words), F.slice(v, -words, words))
-        return F.when(F.size(v) > words, F.transform(both, lambda e: F.struct(F.xxhash64(e).alias("h"), F.xxhash64(F.lit(1), e).alias("g"))))
+    def ends(x: Column) -> Column:
+        both = F.array(F.regexp_substr(x, F.lit(first)), F.reverse(F.regexp_substr(F.reverse(x), F.lit(first))))
+        return F.transform(both, lambda e: F.trim(F.regexp_replace(e, r"[\x20\x09-\x0D]+", " ")))
 
-    hashed = F.transform(split, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), F.size(s["v"]).alias("w"), ends(s["v"]).alias("e")))
+    def marks(s: Column) -> Column:
+        both = F.transform(ends(s["x"]), lambda e: F.struct(F.xxhash64(e).alias("h"), F.xxhash64(F.lit(1), e).alias("g")))
+        return F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(F.lit(1), s["x"]).alias("g"), s["w"].alias("w"), F.when(s["w"] > words, both).alias("e"))
+
+    counted = F.transform(lines, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"), F.regexp_count(s["x"], F.lit(WORD)).alias("w")))
+    hashed = F.transform(counted, marks)
     return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("k"), hashed.alias("l"))
 
 
