@@ -21,7 +21,7 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of three lines, or of fifty words, that stand earlier in the corpus go, and lines that recur by themselves; n_chars follows the text."""
+    """Runs of three lines, or of fifty words, that stand earlier in the corpus go, and lines that recur by themselves or ends of longer lines that do; n_chars follows the text."""
     from pyspark.sql import functions as F
 
     out = lines.drop_repeated_lines(docs)
